@@ -46,30 +46,30 @@ def bucket_of(col: str | Column, edges: list) -> Column:
 
 def with_rank(df: DataFrame, col: str, name: str) -> DataFrame:
     """Adds the 0-based global row number by ``col`` (which must be unique)."""
-    d = df.withColumn("_b", bucket_of(col, bounds(df, col)))
-    sizes = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_b").orderBy(col)) - 1
-    return d.withColumn("_r", local).join(F.broadcast(before), "_b").withColumn(name, F.col("_r") + F.col("_before")).drop("_b", "_r", "_before")
+    d = df.withColumn("__b", bucket_of(col, bounds(df, col)))
+    sizes = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
+    local = F.row_number().over(Window.partitionBy("__b").orderBy(col)) - 1
+    return d.withColumn("__r", local).join(F.broadcast(before), "__b").withColumn(name, F.col("__r") + F.col("__before")).drop("__b", "__r", "__before")
 
 
 def with_neighbours(df: DataFrame, col: str, nxt: str | None = None, prv: str | None = None) -> DataFrame:
     """Adds the next and the previous value of ``col`` in global order; null at the ends."""
-    d = df.withColumn("_b", bucket_of(col, bounds(df, col)))
-    ends = d.groupBy("_b").agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    w = Window.orderBy("_b")
-    ends = ends.select("_b", F.lead("_lo").over(w).alias("_after"), F.lag("_hi").over(w).alias("_prior"))
-    local = Window.partitionBy("_b").orderBy(col)
+    d = df.withColumn("__b", bucket_of(col, bounds(df, col)))
+    ends = d.groupBy("__b").agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
+    w = Window.orderBy("__b")
+    ends = ends.select("__b", F.lead("__lo").over(w).alias("__after"), F.lag("__hi").over(w).alias("__prior"))
+    local = Window.partitionBy("__b").orderBy(col)
     if nxt:
         d = d.withColumn(nxt, F.lead(col).over(local))
     if prv:
         d = d.withColumn(prv, F.lag(col).over(local))
-    d = d.join(F.broadcast(ends), "_b")
+    d = d.join(F.broadcast(ends), "__b")
     if nxt:
-        d = d.withColumn(nxt, F.coalesce(nxt, "_after"))
+        d = d.withColumn(nxt, F.coalesce(nxt, "__after"))
     if prv:
-        d = d.withColumn(prv, F.coalesce(prv, "_prior"))
-    return d.drop("_b", "_after", "_prior")
+        d = d.withColumn(prv, F.coalesce(prv, "__prior"))
+    return d.drop("__b", "__after", "__prior")
 
 
 def nearest(probes: DataFrame, rows: DataFrame, probe: str, key: str, how: str, payload: list[str] | None = None) -> DataFrame:
@@ -88,14 +88,14 @@ def nearest(probes: DataFrame, rows: DataFrame, probe: str, key: str, how: str,
     row_first = how in ("ge", "le")
     a = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.lit(0 if row_first else 1).alias("_o"), item.alias("_item"), F.lit(False).alias("_probe"))
     b = probes.select(F.col(probe).alias("_k"), F.lit(1 if row_first else 0).alias("_o"), F.lit(None).cast(a.schema["_item"].dataType).alias("_item"), F.lit(True).alias("_probe"))
-    u = a.unionByName(b).withColumn("_b", bucket_of("_k", edges))
+    u = a.unionByName(b).withColumn("__b", bucket_of("_k", edges))
     order = (F.asc("_k"), F.asc("_o")) if down else (F.desc("_k"), F.asc("_o"))
-    w = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = u.withColumn("_near", F.last("_item", ignorenulls=True).over(w)).where("_probe")
-    side = a.withColumn("_b", bucket_of("_k", edges)).groupBy("_b").agg((F.max_by if down else F.min_by)("_item", "_k").alias("_edge"))
-    every = a.sparkSession.range(len(set(edges)) + 1).select(F.col("id").cast("int").alias("_b"))
-    w = Window.orderBy(F.asc("_b") if down else F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = every.join(side, "_b", "left").select("_b", F.last("_edge", ignorenulls=True).over(w).alias("_carry"))
-    out = found.join(F.broadcast(carry), "_b", "left")
+    side = a.withColumn("__b", bucket_of("_k", edges)).groupBy("__b").agg((F.max_by if down else F.min_by)("_item", "_k").alias("_edge"))
+    every = a.sparkSession.range(len(set(edges)) + 1).select(F.col("id").cast("int").alias("__b"))
+    w = Window.orderBy(F.asc("__b") if down else F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = every.join(side, "__b", "left").select("__b", F.last("_edge", ignorenulls=True).over(w).alias("_carry"))
+    out = found.join(F.broadcast(carry), "__b", "left")
     near = F.when(F.col("_k").isNotNull(), F.coalesce("_near", "_carry"))
     return out.select(F.col("_k").alias(probe), near["k"].alias(key), *[near[c].alias(c) for c in payload or []])
