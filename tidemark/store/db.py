@@ -457,6 +457,7 @@ class Store:
         s.commit = self.state.commit + 1
         self.group.commit({self.name: s})
         self.state = s
+        self._next = max(self._next, s.max_seq)
 
     def _stage(self) -> State | None:
         if not self.pending:
