@@ -165,19 +165,26 @@ class Group:
             self.doc = doc
 
     def vacuum(self) -> list[str]:
-        """Removes directories that no kept manifest names."""
+        """Removes directories that no kept manifest names, and parts of those it names in part."""
         used = set()
         for v in self.manifest.versions():
             for s in self.manifest.load(v)["kvs"].values():
                 used |= {x["path"] for x in [*s["segments"], *s["tables"]]}
+        roots = {SEP.join(x.split(SEP)[:2]) for x in used}
         gone = []
         for kind in ("log", "table"):
             fs, p = hadoop(self.spark, f"{self.path}{SEP}{kind}")
             for st in fs.listStatus(p) if fs.exists(p) else []:
                 rel = f"{kind}{SEP}{st.getPath().getName()}"
-                if rel not in used:
+                if rel not in roots:
                     fs.delete(st.getPath(), True)
                     gone.append(rel)
+                elif rel not in used:
+                    for part in fs.listStatus(st.getPath()):
+                        sub = f"{rel}{SEP}{part.getPath().getName()}"
+                        if part.isDirectory() and sub not in used:
+                            fs.delete(part.getPath(), True)
+                            gone.append(sub)
         return gone
 
     def close(self) -> None:
