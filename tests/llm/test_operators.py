@@ -75,6 +75,17 @@ def test_hmm(spark, docs, none):
     assert hmm.language_model(none, states=2, iterations=1).count() == 0
 
 
+def test_hmm_learns_states_until_it_gains_no_more(spark):
+    rng = np.random.default_rng(3)
+    two = [[f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]]
+    # words of two kinds take turns: a unigram can't tell, two states can
+    data = [(i, " ".join(two[(i + j) % 2][k] for j, k in enumerate(rng.integers(0, 30, 200)))) for i in range(60)]
+    m, enc, _ = hmm.train(spark.createDataFrame(data, "doc_id long, text string"), states=2, top=100, classes=16)
+    n = 60 * 200
+    got = hmm.score(enc, m).agg({"log_likelihood": "sum"}).collect()[0][0] / n
+    assert got > -math.log(60) + 0.6 and (m.log_likelihood[-1] - m.log_likelihood[-2]) / n < hmm.TOLERANCE
+
+
 def test_minhash(docs, none):
     got = {(r["doc_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
     assert {(1, 0), (2, 0)} <= got and not {3, 7, 8, 9, 10} & {a for a, _ in got}
