@@ -86,6 +86,17 @@ def test_hmm_learns_states_until_it_gains_no_more(spark):
     assert got > -math.log(60) + 0.6 and (m.log_likelihood[-1] - m.log_likelihood[-2]) / n < hmm.TOLERANCE
 
 
+def test_hmm_words_of_a_class_have_their_own_shares(spark):
+    # one state: a word's chance is its share of all words, own symbol or not
+    data = [(i, t) for i, t in enumerate(["a a a a a a b b b c"] * 10 + ["a", "b", "c"])]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    m, enc, _ = hmm.train(d, states=1, top=0, classes=1, grow=0, smooth=1e-9)
+    got = {r["doc_id"]: r["log_likelihood"] for r in hmm.score(enc, m).collect()}
+    assert [got[i] for i in (10, 11, 12)] == pytest.approx([math.log(k / 103) for k in (61, 31, 11)], abs=1e-5)
+    m, _, _ = hmm.train(spark.createDataFrame([(0, prose(1, 4000))], "doc_id long, text string"), states=1, top=10, classes=1)
+    assert len(m.top) == int(2 * 4000**0.5)  # grows with the corpus
+
+
 def test_minhash(docs, none):
     got = {(r["doc_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
     assert {(1, 0), (2, 0)} <= got and not {3, 7, 8, 9, 10} & {a for a, _ in got}
