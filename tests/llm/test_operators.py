@@ -177,6 +177,17 @@ def test_classifier(spark, docs, none):
     assert classifier.score(docs, None).where("keep").count() == 12 and classifier.keep_preferred(docs, None).count() == 12
 
 
+def test_classifier_cuts_on_all_documents(spark):
+    rng = np.random.default_rng(2)
+    data = [(i, prose(i, 60) + (" awful" if i % 4 == 0 and rng.random() < 0.8 else "")) for i in range(2000)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(1500)], "doc_id long, quality int, toxic int")
+    m = classifier.fit(d, lab, max_train=300)
+    assert m.judged == 1500 - 300 + sum(tx.mix(np.array([r[0]], np.int64).view(np.uint64) + np.uint64(7))[0] % 5 == 0 for r in lab.selectExpr("doc_id", "xxhash64(doc_id, 7) h").orderBy("h", "doc_id").limit(300).collect())
+    s = [r["score"] for r in classifier.score(d, m).collect()]
+    assert m.level == pytest.approx(np.mean([x < m.threshold for x in s]), abs=1e-9) and 0 < m.level < 1
+
+
 def test_bpe(docs, none):
     e = bpe.encoder(f"{bpe.TOKENIZERS}/{bpe.VOCABULARY}")
     for t in ("", " a  b ", "it's 123!!\n\n x", "日本語 é\t", "aaaaaaaaaaaaaaaaaaaaaaaa", "supercalifragilistic thththth", prose(1, 40)):

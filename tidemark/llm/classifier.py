@@ -3,18 +3,20 @@
 A labelled document that is of quality and not toxic is preferred to one that isn't.
 The chance that a beats b is the logistic function of w . (x_a - x_b); w minimises the
 mean logistic loss over pairs with a small ridge. Features are the presence of words
-that tell the classes apart and a few measures of style. The cut is the quantile of the
-scores of labelled documents held out from fitting at which the fewest of them are
-judged wrongly, a preferred one lost counting ``care`` times.
+that tell the classes apart and a few measures of style. Weights come from a sample, the
+cut from all documents: it is the quantile of their scores at which the fewest of all
+labelled ones not used in fitting are judged wrongly, a preferred one lost counting
+``care`` times.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,8 @@ from pyspark.sql import types as T
 from tidemark.llm import text as tx
 
 STYLE = 9
+#: Bins of the score's unit in which documents are counted; a power of two, so edges are exact.
+BINS = 512
 _UPPER, _LOWER, _DIGIT, _SYMBOL = (np.zeros(256, np.int32) for _ in range(4))
 _UPPER[65:91] = 1
 _LOWER[97:123] = 1
@@ -36,8 +40,9 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     threshold: float
-    level: float
+    level: float  # share of all documents' scores below the threshold
     held_out_accuracy: float
+    judged: int  # labelled documents the threshold was chosen on
 
 
 def _sum(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -99,9 +104,11 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, pairs: int, ridge: float, seed: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_words: int = 2000, least_df: int = 8, pairs: int = 40_000, ridge: float = 1e-4, care: float = 4.0, seed: int = 7, column: str = "text", key: str = "doc_id") -> Model | None:
-    """A model from at most ``max_train`` labelled rows, chosen by a hash of the key.
+    """Weights from at most ``max_train`` labelled rows, chosen by a hash of the key, and
+    a threshold from all documents.
 
-    Only these rows' features reach the driver. None when a class is missing.
+    Only these rows' features and counts by score bin reach the driver. None when a
+    class is missing.
     """
     lab = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("good"))
     ids = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
@@ -132,8 +139,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_words: in
 
     def thin(batches) -> Iterator[pa.RecordBatch]:
         keep = pa.array(sorted(wanted), pa.int64())
-        import pyarrow.compute as pc
-
         for b in batches:
             lists = b.column(2)
             flat, parent = pc.list_flatten(lists), pc.list_parent_indices(lists)
@@ -157,18 +162,43 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_words: in
     if good[~held].all() or not good[~held].any():
         held[:] = False
     w = fit_pairs(x[~held], good[~held], pairs, ridge, seed)
-    judged = held if held.any() and good[held].any() and not good[held].all() else np.ones(n, bool)
-    s, y = x[judged] @ w, good[judged]
-    order = np.argsort(s, kind="stable")
-    s, y = s[order], y[order]
-    # cutting before place i rejects the i lowest: preferred ones lost, others kept
-    cost = care * np.concatenate([[0], np.cumsum(y)]) + np.concatenate([[0], np.cumsum(~y)])[-1] - np.concatenate([[0], np.cumsum(~y)])
+    m = Model(words, w, mean, scale, -np.inf, 0.0, 0.0, 0)
+    return cut(ids, lab, m, ids_[~held], care)
+
+
+def cut(ids: DataFrame, lab: DataFrame, m: Model, fitted: np.ndarray, care: float) -> Model | None:
+    """``m`` with the threshold at which all labelled documents but ``fitted`` cost least.
+
+    Where these lack a class, the fitted ones count too; None if
+    one is missing even then.
+    """
+
+    def work(batches) -> Iterator[pa.RecordBatch]:
+        known = pa.array(fitted, pa.int64())
+        for b in batches:
+            used = pc.is_in(b.column(0), value_set=known)
+            for lo, hi, data, offs in tx.slices(b.column(1)):
+                s = score_slice(m, data, offs)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.floor(s * BINS), mask=np.isnan(s)), used.slice(lo, hi - lo)], ["doc_id", "bin", "used"])
+
+    scored = ids.mapInArrow(work, "doc_id long, bin double, used boolean").where(F.col("bin").isNotNull())
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    good, fresh = F.col("good"), ~F.col("used")
+    got = scored.join(lab, "doc_id", "left").groupBy("bin").agg(F.count(F.lit(1)), count(good & fresh), count(~good & fresh), count(good), count(~good)).toArrow()
+    if not got.num_rows:
+        return None
+    cols = np.stack([np.asarray(c) for c in got.columns], 1)
+    edges, n, *by = cols[np.argsort(cols[:, 0])].T
+    g, b = by[:2] if by[0].any() and by[1].any() else by[2:]
+    if not g.any() or not b.any():
+        return None
+    # cutting before bin i rejects all below: preferred ones lost, others kept
+    below = lambda x: np.concatenate([[0], np.cumsum(x)])
+    cost = care * below(g) + b.sum() - below(b)
     best = np.flatnonzero(cost == cost.min())
     i = int(best[len(best) // 2])
-    level = i / len(s)
-    edges = np.concatenate([[s[0] - 1], (s[1:] + s[:-1]) / 2, [s[-1] + 1]])
-    right = float(np.mean((s >= edges[i]) == y))
-    return Model(words, w, mean, scale, float(edges[i]), level, right)
+    right = (g[i:].sum() + b[:i].sum()) / (g.sum() + b.sum())
+    return replace(m, threshold=float(np.append(edges, edges[-1] + 1)[i] / BINS), level=float(n[:i].sum() / n.sum()), held_out_accuracy=float(right), judged=int(g.sum() + b.sum()))
 
 
 def score(docs: DataFrame, m: Model | None, column: str = "text", key: str = "doc_id") -> DataFrame:
