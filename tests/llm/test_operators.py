@@ -154,6 +154,14 @@ def test_quality(spark, docs, none):
     assert [r["doc_id"] for r in quality.judge(junk).where("not keep").collect()] == [99]
 
 
+def test_quality_bands_catch_bad_texts_and_spare_good_ones(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(4)
+    got = quality.judge(docs).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg({"*": "count", "reason": "count"}).collect()
+    out = {r["quality"]: r["count(reason)"] / r["count(1)"] for r in got}
+    assert out[0] > 0.45 and out[1] < 0.01
+
+
 def test_sharding(spark, docs, none):
     got = sharding.shard(docs, 4, 9).collect()
     assert sorted(r["position"] for r in got) == list(range(15)) == sorted(r["row_number"] for r in got)

@@ -25,6 +25,8 @@ from tidemark.sources.shared import written
 VOCABULARY = "piece_bpe_32k.model"
 REMEMBER = 400_000
 MEASURES = ("chars_per_token", "byte_share", "entropy_share")
+#: Quartile distances by which a band goes beyond its quartiles.
+REACH = 2.5
 #: Least widths of the bands, so that a group of near-equal texts rejects no ordinary one.
 FLOOR = {"chars_per_token": 0.5, "byte_share": 0.06, "entropy_share": 0.06}
 
@@ -167,7 +169,7 @@ def _reasons(m: DataFrame, reach: float, least: int) -> DataFrame:
     return d.withColumn("__reason", reason).drop("__l0", "__c0", "__fine", "__l1", "__mid", "__every")
 
 
-def judge(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}", reach: float = 4.0, least: int = 50, column: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}", reach: float = REACH, least: int = 50, column: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """(key, lang, n_tokens, measures, keep, reason) for every row.
 
     ``reason`` names the first measure out of its band. Null, empty and tokenless texts
@@ -182,7 +184,7 @@ def judge(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}", reach: floa
     return d.select(F.col("doc_id").alias(key), "__quality.*", F.col("__reason").isNull().alias("keep"), F.col("__reason").alias("reason"))
 
 
-def keep_good(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}", reach: float = 4.0, least: int = 50, column: str = "text", lang: str = "lang") -> DataFrame:
+def keep_good(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}", reach: float = REACH, least: int = 50, column: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with the same columns.
 
     Texts are taken apart once: rows and measures are written together, so no join
