@@ -6,6 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.sources.shared import written
 
 #: Bytes of text worked on at once; a longer single text is worked on whole.
 SLICE = 4 << 20
@@ -52,8 +56,12 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
-def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word, in order; no word crosses a row."""
+def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE, signs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word, in order; no word crosses a row.
+
+    With ``signs``, each character between U+3000 and U+9FFF (the scripts of Chinese and
+    Japanese, which put no space between words) and of Thai and Lao is a word.
+    """
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
@@ -62,6 +70,13 @@ def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE) -> tuple[
     first[offs[:-1]] = True
     first[-1] = True
     first[0] = True
+    if signs:
+        at = (data >= 0xE3) & (data <= 0xE9)
+        thai = np.flatnonzero(data[:-1] == 0xE0)
+        at[thai[(data[thai + 1] >= 0xB8) & (data[thai + 1] <= 0xBB)]] = True
+        at = np.flatnonzero(at)
+        first[at] = True
+        first[np.minimum(at + 3, len(data))] = True
     before = np.empty(len(data), bool)
     before[0] = True
     before[1:] = gap[:-1]
@@ -130,3 +145,39 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.cumsum(lengths) - lengths
     return np.arange(total) + np.repeat(starts - before, lengths)
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that none of ``columns`` has, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def numbered(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with long keys, and what they stand for.
+
+    Integers stay as they are (None). Other keys are replaced by numbers in the same
+    order, from a written table of the distinct keys; null stays null. That join moves
+    the rows, which integer keys spare.
+    """
+    if df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return df.withColumn(key, F.col(key).cast("long")), None
+    number, name = free(df.columns, "number", "name")
+    keys = df.where(F.col(key).isNotNull()).select(F.col(key).alias(name)).distinct()
+    keys, _ = written(keys.repartitionByRange(name).sortWithinPartitions(name).withColumn(number, F.monotonically_increasing_id()), "keys")
+    return df.join(keys, F.col(key) == F.col(name), "left").select(*[F.col(number).alias(c) if c == key else F.col(c) for c in df.columns]), keys.toDF("name", "number")
+
+
+def named(df: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """``columns`` with the keys that their numbers stand for."""
+    if names is None:
+        return df
+    for c in columns:
+        by, name = free(df.columns, "number", "name")
+        df = df.join(names.toDF(name, by), F.col(c) == F.col(by), "left").select(*[F.col(name).alias(x) if x == c else F.col(x) for x in df.columns])
+    return df
