@@ -1,19 +1,23 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 The two halves of a vector are quantised by codebooks of their own, K words each, which
-divides space into K x K cells. A query visits cells by rising sum of its two centroid
-distances (a heap over the grid), until the cells hold a given number of entries; these
-are reranked by exact distance. The number is found on a sample of queries with known
-neighbours, so that clustered vectors need few entries and shapeless ones many.
+divides space into K x K cells. K grows with the fourth root of the number of vectors,
+so that cells number about the root of it and hold about as many entries each. A query
+visits cells by rising sum of its two centroid distances (a heap over the grid), until
+the cells hold a given number of entries; these are reranked by exact distance. The
+number is found on a sample of queries with known neighbours, so that clustered vectors
+need few entries and shapeless ones many.
 
 A query's cells are those below its last sum, so one number describes them. Entries lie
 in shards of consecutive cells; a query goes to the shards that hold a cell of its own,
-and a shard answers blocks of queries by matrix products.
+and no entry is copied unless more than ``ASKED`` queries visit its shard. A task holds
+one shard's entries and lets the shard's queries stream past.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import text as tx
 from tidemark.sources.shared import remove, written
 
-SHARD, BLOCK, TILE = 8192, 16_384, 1024
+#: Entries of a shard, queries of a shard from which it is answered by several tasks, queries ranked at once.
+SHARD, ASKED, TILE = 8192, 1 << 20, 1024
+#: Words of a half's codebook: this times the fourth root of the number of vectors.
+SPREAD = 2.2
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -67,7 +75,7 @@ def last_sum(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, enough: int) ->
 
 def vectors(df: DataFrame, column: str, key: str) -> DataFrame:
     """Key and packed vector: one row a key, the least of its vectors; bad vectors left out."""
-    d = df.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<float>").alias("v")).where("id is not null and v is not null and size(v) > 1")
+    d = df.select(F.col(key).alias("id"), F.col(column).cast("array<float>").alias("v")).where("id is not null and v is not null and size(v) > 1")
     d = d.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     size = d.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), "s").limit(1)
     d = d.join(F.broadcast(size.select("s")), F.size("v") == F.col("s")).groupBy("id").agg(F.min("v").alias("v"))
@@ -115,23 +123,39 @@ def codebooks(d: DataFrame, k: int, rounds: int, seed: int) -> tuple[np.ndarray,
     return books[0], books[1]
 
 
-def neighbours(df: DataFrame, k: int = 10, words: int = 32, rounds: int = 5, sample: int = 256, aim: float = 0.97, seed: int = 3, column: str = "embedding", key: str = "vec_id") -> DataFrame:
+def _merge_best(near: np.ndarray, best: tuple | None, ids: np.ndarray, cell: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k least distances of each row, of those before and a new batch: distance, id, cell."""
+    ids, cell = np.broadcast_to(ids, near.shape), np.broadcast_to(cell, near.shape)
+    if best is not None:
+        near, ids, cell = (np.concatenate(x, 1) for x in zip(best, (near, ids, cell)))
+    m = min(k, near.shape[1])
+    at = np.argpartition(near, m - 1, 1)[:, :m]
+    return tuple(np.take_along_axis(x, at, 1) for x in (near, ids, cell))
+
+
+def neighbours(df: DataFrame, k: int = 10, words: int | None = None, rounds: int = 5, sample: int = 256, aim: float = 0.97, seed: int = 3, column: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(key, rank, neighbour, distance): the ``k`` nearest others of every vector.
 
-    Squared Euclidean distance; ties go to the lesser key. ``aim`` is the share of the
-    sample's true neighbours that the visited entries must hold. Null keys, null or
-    one-element vectors, vectors with nulls or numbers that aren't finite, and those of
-    another length than most take no part; of rows that share a key the least vector
-    counts; other columns aren't read; fewer than k others give fewer rows; an empty
-    table gives an empty result.
+    Squared Euclidean distance; ties go to the lesser key. ``words`` is the size of a
+    half's codebook, ``SPREAD`` times the fourth root of the number of vectors unless
+    given. ``aim`` is the share of the probes' true neighbours that the visited entries
+    must hold; probes are ``sample`` vectors or 16 times that fourth root, if more. Keys
+    may be of any type that has an order. Null keys, null or one-element vectors,
+    vectors with nulls or numbers that aren't finite, and those of another length than
+    most take no part; of rows that share a key the least vector counts; other columns
+    aren't read, so that their names can't clash; vectors of any length fit as long as
+    ``SHARD`` of them do; fewer than k others give fewer rows; an empty table gives an
+    empty result.
     """
     spark = df.sparkSession
-    out = "id long, rank int, neighbour long, distance float"
-    d, d_path = written(vectors(df, column, key), "vectors")
+    df, names = tx.numbered(df.select(F.col(key).alias("vec_id"), F.col(column).alias("embedding")), "vec_id")
+    d, d_path = written(vectors(df, "embedding", "vec_id"), "vectors")
     n = d.count()
     if n < 2:
-        return spark.createDataFrame([], out).select(F.col("id").alias(key), "rank", "neighbour", "distance")
-    one, two = codebooks(d, min(words, n), rounds, seed)
+        none = spark.createDataFrame([], "vec_id long, rank int, neighbour long, distance float")
+        return tx.named(none, names, "vec_id", "neighbour").withColumnRenamed("vec_id", key)
+    root = n**0.25
+    one, two = codebooks(d, min(words or max(2, math.ceil(SPREAD * root)), n), rounds, seed)
     h = one.shape[1]
 
     def assign(batches) -> Iterator[pa.RecordBatch]:
@@ -147,20 +171,23 @@ def neighbours(df: DataFrame, k: int = 10, words: int = 32, rounds: int = 5, sam
         sizes[r[0]] = r[1]
     grid = sizes.reshape(len(one), len(two))
 
-    # how many entries the sample's true neighbours need
-    probe = e.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(sample).select("id", "v").toArrow()
+    # how many entries the probes' true neighbours need; a task sends its k best of each probe
+    probe = e.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(max(sample, int(16 * root))).select("id", "v").toArrow()
     pid, px = probe.column("id").to_numpy(), matrix(probe.column("v").combine_chunks())
 
     def exact(batches) -> Iterator[pa.RecordBatch]:
+        best: list = [None] * -(-len(pid) // TILE)
         for b in batches:
-            ids, x = b.column(0).to_numpy(), matrix(b.column(1))
-            dist = distances(px, x)
-            dist[pid[:, None] == ids[None, :]] = np.inf
-            m = min(k, len(ids))
-            near = np.argpartition(dist, m - 1, 1)[:, :m]
-            q = np.repeat(np.arange(len(pid)), m)
-            near = near.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), b.column(2).take(pa.array(near)), pa.array(ids[near]), pa.array(dist[q, near])], ["q", "cell", "id", "dist"])
+            ids, x, cell = b.column(0).to_numpy(), matrix(b.column(1)), b.column(2).to_numpy()
+            for i in range(len(best) if len(ids) else 0):
+                own = slice(i * TILE, (i + 1) * TILE)
+                dist = distances(px[own], x)
+                dist[pid[own, None] == ids[None, :]] = np.inf
+                best[i] = _merge_best(dist, best[i], ids, cell, k)
+        for i, t in enumerate(best):
+            if t is not None:
+                q = np.repeat(np.arange(len(t[0])) + i * TILE, t[0].shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(t[2].ravel()), pa.array(t[1].ravel()), pa.array(t[0].ravel())], ["q", "cell", "id", "dist"])
 
     best = e.mapInArrow(exact, "q int, cell int, id long, dist float").where("dist < float('infinity')")
     best = best.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))).where(F.col("rn") <= k).collect()
@@ -183,16 +210,13 @@ def neighbours(df: DataFrame, k: int = 10, words: int = 32, rounds: int = 5, sam
         held += int(sizes[c])
         if cell_parts[c] > 1:
             shard, held = shard + int(cell_parts[c]), 0
-    blocks = max(1, -(-n // BLOCK))
+    shards = int(cell_shard[-1] + cell_parts[-1])
     filled = np.flatnonzero(sizes)
 
-    def place(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cell = b.column(2).to_numpy()
-            s = cell_shard[cell] + b.column(0).to_numpy() % cell_parts[cell]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(s.astype(np.int32))], ["id", "v", "cell", "shard"])
-
     def ask(batches) -> Iterator[pa.RecordBatch]:
+        first_of = cell_shard[filled]
+        parts = np.ones(shards, np.int64)
+        parts[first_of] = np.maximum(parts[first_of], cell_parts[filled])
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
@@ -201,56 +225,85 @@ def neighbours(df: DataFrame, k: int = 10, words: int = 32, rounds: int = 5, sam
                 tau = np.array([last_sum(a[q], c[q], grid, enough) for q in range(len(x))], np.float32)
                 total = a[:, filled // len(two)] + c[:, filled % len(two)]
                 rows, cols = np.nonzero(total <= tau[:, None] * np.float32(1 + 1e-6))
-                shards = int(cell_shard[-1] + cell_parts[-1])
-                first = np.unique(rows.astype(np.int64) * shards + cell_shard[filled[cols]])
-                q, s = first // shards, first % shards
-                extra = {int(cell_shard[f]): int(cell_parts[f]) for f in filled if cell_parts[f] > 1}
-                if extra:
-                    times = np.array([extra.get(int(v), 1) for v in s])
-                    q, s = np.repeat(q, times), np.concatenate([v + np.arange(t) for v, t in zip(s, times)])
-                take = pa.array(q)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(tau[q]), pa.array(s.astype(np.int32))], ["qid", "qv", "tau", "shard"])
-
-    entries = e.mapInArrow(place, "id long, v binary, cell int, shard int").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = e.select("id", "v").mapInArrow(ask, "qid long, qv binary, tau float, shard int").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-
-    def rerank(asked: pa.Table, held: pa.Table) -> pa.Table:
-        schema = pa.schema([("id", pa.int64()), ("found", pa.list_(pa.struct([("distance", pa.float32()), ("neighbour", pa.int64())])))])
-        if not asked.num_rows or not held.num_rows:
-            return schema.empty_table()
-        ids, x, cell = held.column("id").to_numpy(), matrix(held.column("v").combine_chunks()), held.column("cell").to_numpy()
-        cells, at = np.unique(cell, return_inverse=True)
-        qid, qx, tau = asked.column("qid").to_numpy(), matrix(asked.column("qv").combine_chunks()), asked.column("tau").to_numpy()
-        o_id, o_nb, o_d = [], [], []
-        for lo in range(0, len(qid), TILE):
-            q, y, t = qid[lo : lo + TILE], qx[lo : lo + TILE], tau[lo : lo + TILE]
-            total = distances(y[:, :h], one)[:, cells // len(two)] + distances(y[:, h:], two)[:, cells % len(two)]
-            seen = (total <= t[:, None] * np.float32(1 + 1e-6))[:, at]
-            dist = distances(y, x)
-            dist[~seen] = np.inf
-            dist[q[:, None] == ids[None, :]] = np.inf
-            m = min(k, len(ids))
-            edge = np.partition(dist, m - 1, 1)[:, m - 1 : m]
-            r, c = np.nonzero((dist <= edge) & (dist < np.inf))  # ties at the edge come along
-            o_id.append(q[r])
-            o_nb.append(ids[c])
-            o_d.append(dist[r, c])
-        qi, nb, dd = np.concatenate(o_id), np.concatenate(o_nb), np.concatenate(o_d)
-        if not len(qi):
-            return schema.empty_table()
-        o = np.lexsort((nb, dd, qi))
-        qi, nb, dd = qi[o], nb[o], dd[o]
-        start = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
-        rank = np.arange(len(qi)) - np.repeat(start, np.diff(np.r_[start, len(qi)]))
-        ok = rank < k
-        qi, nb, dd = qi[ok], nb[ok], dd[ok]
-        start = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
-        items = pa.StructArray.from_arrays([pa.array(dd, pa.float32()), pa.array(nb)], ["distance", "neighbour"])
-        return pa.table([pa.array(qi[start]), pa.ListArray.from_arrays(pa.array(np.r_[start, len(qi)].astype(np.int32)), items)], schema=schema)
+                key_ = np.unique(rows.astype(np.int64) * shards + first_of[cols])
+                q, s = key_ // shards, key_ % shards
+                q, s = np.repeat(q, parts[s]), tx.ragged(s, parts[s])
+                cut = np.searchsorted(q, np.arange(len(x) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(tau), pa.ListArray.from_arrays(pa.array(cut), pa.array(s.astype(np.int32)))], ["id", "v", "tau", "shards"])
+
+    asked, asked_path = written(e.select("id", "v").mapInArrow(ask, "id long, v binary, tau float, shards array<int>"), "queries")
+    blocks = np.ones(shards, np.int32)
+    for r in asked.select(F.explode("shards").alias("s")).groupBy("s").count().where(F.col("count") > ASKED).collect():
+        blocks[r["s"]] = -(-r["count"] // ASKED)
+
+    def place(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = b.column(2).to_numpy()
+            s = cell_shard[cell] + b.column(0).to_numpy() % cell_parts[cell]
+            many = blocks[s]
+            take = pa.array(np.repeat(np.arange(len(s)), many))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(s, many).astype(np.int32)), pa.array(tx.ragged(np.zeros(len(s), np.int64), many).astype(np.int32)), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take)], ["shard", "block", "id", "v", "cell"])
+
+    def send(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = b.column(3).flatten().to_numpy()
+            q = np.repeat(np.arange(b.num_rows), np.diff(b.column(3).offsets.to_numpy()))
+            block = b.column(0).to_numpy()[q] % blocks[s]
+            take = pa.array(q)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(block.astype(np.int32)), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take)], ["shard", "block", "id", "v", "tau"])
+
+    entries = e.mapInArrow(place, "shard int, block int, id long, v binary, cell int").select("shard", "block", F.lit(0).cast("byte").alias("kind"), "id", "v", "cell", F.lit(None).cast("float").alias("tau"))
+    queries = asked.mapInArrow(send, "shard int, block int, id long, v binary, tau float").select("shard", "block", F.lit(1).cast("byte").alias("kind"), "id", "v", F.lit(None).cast("int").alias("cell"), "tau")
 
-    found = queries.groupBy("shard", "block").cogroup(entries.groupBy("shard", "block")).applyInArrow(rerank, "id long, found array<struct<distance:float,neighbour:long>>")
+    def rerank(batches) -> Iterator[pa.RecordBatch]:
+        now, held = None, []  # the shard and block whose entries are held
+        for b in batches:
+            at = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy()
+            kind = b.column(2).to_numpy()
+            edge = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (kind[1:] != kind[:-1]), True])
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if at[lo] != now:
+                    now, held = int(at[lo]), []
+                part = b.slice(lo, hi - lo)
+                if not kind[lo]:
+                    held.append((part.column(3).to_numpy(), matrix(part.column(4)), part.column(5).to_numpy()))
+                elif held:
+                    if len(held) > 1:
+                        held = [tuple(np.concatenate(x) for x in zip(*held))]
+                    yield from _answer(part, *held[0], one, two, k)
+
+    both = entries.unionByName(queries).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind")
+    found = both.mapInArrow(rerank, "id long, found array<struct<distance:float,neighbour:long>>")
     best = found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("f"))
-    return best.select(F.col("id").alias(key), F.posexplode("f").alias("p", "x")).select(key, (F.col("p") + 1).alias("rank"), F.col("x.neighbour").alias("neighbour"), F.col("x.distance").alias("distance"))
+    out = best.select(F.col("id").alias("vec_id"), F.posexplode("f").alias("p", "x")).select("vec_id", (F.col("p") + 1).alias("rank"), F.col("x.neighbour").alias("neighbour"), F.col("x.distance").alias("distance"))
+    return tx.named(out, names, "vec_id", "neighbour").withColumnRenamed("vec_id", key)
+
+
+def _answer(part: pa.RecordBatch, ids: np.ndarray, x: np.ndarray, cell: np.ndarray, one: np.ndarray, two: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest entries, of those in each query's cells, for a run of one shard's queries."""
+    h = one.shape[1]
+    cells, at = np.unique(cell, return_inverse=True)
+    for lo in range(0, part.num_rows, TILE):
+        rows = part.slice(lo, TILE)
+        q, y, t = rows.column(3).to_numpy(), matrix(rows.column(4)), rows.column(6).to_numpy()
+        total = distances(y[:, :h], one)[:, cells // len(two)] + distances(y[:, h:], two)[:, cells % len(two)]
+        dist = distances(y, x)
+        dist[~(total <= t[:, None] * np.float32(1 + 1e-6))[:, at]] = np.inf
+        dist[q[:, None] == ids[None, :]] = np.inf
+        m = min(k, len(ids))
+        edge = np.partition(dist, m - 1, 1)[:, m - 1 : m]
+        r, c = np.nonzero((dist <= edge) & (dist < np.inf))  # ties at the edge come along
+        if not len(r):
+            continue
+        nb, dd = ids[c], dist[r, c]
+        o = np.lexsort((nb, dd, r))
+        r, nb, dd = r[o], nb[o], dd[o]
+        start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        ok = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)])) < k
+        r, nb, dd = r[ok], nb[ok], dd[ok]
+        start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        items = pa.StructArray.from_arrays([pa.array(dd, pa.float32()), pa.array(nb)], ["distance", "neighbour"])
+        yield pa.RecordBatch.from_arrays([pa.array(q[r[start]]), pa.ListArray.from_arrays(pa.array(np.r_[start, len(r)].astype(np.int32)), items)], ["id", "found"])
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
