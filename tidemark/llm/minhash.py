@@ -3,9 +3,12 @@
 One hash of each word n-gram gives both a bin and a value; a bin keeps its least value,
 and empty bins borrow from others by a 2-universal walk (optimal densification). Bands
 of the signature are bucket keys. In a bucket every document is compared with the least
-one alone (a star), so n documents make n - 1 pairs; those that differ from it form a
-bucket again, until none is left. Connected components of the pairs that agree are the
-groups.
+one alone (a star), so n documents make n - 1 pairs. Where some fail, the bucket is
+searched further: up to ``FEW`` of them are compared with all others of the bucket;
+where more fail, its documents are sorted by their signatures from ``ORDERS`` different
+places on, and each is compared with the ``WINDOW`` before it. So a bucket of n documents
+makes n times a constant pairs, however large it is and however unlike they are.
+Connected components of the pairs that agree are the groups.
 """
 
 from __future__ import annotations
@@ -13,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,16 +24,21 @@ from tidemark.llm import text as tx
 from tidemark.sources.shared import remove, written
 
 BINS, BANDS, GRAM, THRESHOLD = 160, 40, 3, 0.45
+#: Documents failing against a bucket's least one that are compared with all others.
+FEW = 64
+#: Sort orders of a bucket in which more fail, and the neighbours in each that are compared.
+ORDERS, WINDOW = 8, 8
 
 
 def signatures(data: np.ndarray, offs: np.ndarray, bins: int = BINS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """32-bit signatures (rows x bins) and which rows have words at all.
 
-    Words are runs between white space and ASCII punctuation, ASCII case folded. Texts
-    shorter than an n-gram count as one gram.
+    Words are runs between white space and ASCII punctuation, ASCII case folded; in
+    scripts without spaces each character is one. Texts shorter than an n-gram count as
+    one gram.
     """
     n = len(offs) - 1
-    starts, ends, rows = tx.words(data, offs, tx.PUNCT)
+    starts, ends, rows = tx.words(data, offs, tx.PUNCT, signs=True)
     h = tx.hashes(data, starts, ends, fold=True)
     g, at = tx.grams(h, rows, gram)
     r = rows[at]
@@ -95,8 +102,12 @@ def sign(docs: DataFrame, column: str, key: str) -> DataFrame:
                 raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS * 4), n, [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary()) if n else pa.array([], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids, raw, pa.ListArray.from_arrays(cut, pa.array(keys.ravel().view(np.int64))), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "sig", "bands", "s1", "s2"])
 
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return d.mapInArrow(work, "doc_id long, sig binary, bands array<long>, s1 long, s2 long")
+    d = docs.select(F.col(key).alias("doc_id"), F.col(column).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    return d.mapInArrow(work, f"doc_id {_kind(d, 'doc_id')}, sig binary, bands array<long>, s1 long, s2 long")
+
+
+def _kind(d: DataFrame, column: str) -> str:
+    return d.schema[column].dataType.simpleString()
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,46 +115,94 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(-1)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Signatures of a binary column, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1) if len(column) else np.zeros((0, BINS), np.uint32)
+
+
 def _agree(pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (columns a, b and both signatures) with their verdict."""
 
     def work(batches) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint32).reshape(-1, BINS) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(agreement(x, y) >= threshold)], ["a", "b", "same"])
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(agreement(_matrix(t.column(2)), _matrix(t.column(3))) >= threshold)], ["a", "b", "same"])
 
-    return pairs.mapInArrow(work, "a long, b long, same boolean")
+    return pairs.mapInArrow(work, f"a {_kind(pairs, 'a')}, b {_kind(pairs, 'b')}, same boolean")
 
 
-def _peel(rows: DataFrame, threshold: float) -> DataFrame:
-    """Stars within what is left of each bucket, least document first, until nobody is left."""
+def _runs(batches, column: int) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Runs of rows equal in a column, cut at batches, and whether each begins anew."""
+    last = object()
+    for b in batches:
+        v = b.column(column).to_numpy()
+        edge = np.flatnonzero(np.r_[True, v[1:] != v[:-1], True]) if len(v) else []
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            yield v[lo] != last, b.slice(lo, hi - lo)
+            last = v[lo]
 
-    def work(batches) -> Iterator[pd.DataFrame]:
-        rest = None
 
-        def solve(g: pd.DataFrame) -> pd.DataFrame:
-            out_a, out_b = [], []
-            sig = np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(-1, BINS)
-            ids, bucket = g["doc_id"].to_numpy(), g["bucket"].to_numpy()
-            edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-            for lo, hi in zip(edge[:-1], edge[1:]):
-                left = np.arange(lo, hi)
-                while len(left) > 1:
-                    same = agreement(sig[left[1:]], sig[left[0]]) >= threshold
-                    out_a += ids[left[1:][same]].tolist()
-                    out_b += [ids[left[0]]] * int(same.sum())
-                    left = left[1:][~same]
-            return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+def _edges(a: pa.Array, b: pa.Array, at: np.ndarray, to: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([a.take(pa.array(at)), b.take(pa.array(to))], ["a", "b"])
 
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = pdf["bucket"].iloc[-1]
-            rest = pdf[pdf["bucket"] == last]
-            yield solve(pdf[pdf["bucket"] != last])
-        if rest is not None:
-            yield solve(rest)
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInPandas(work, "a long, b long")
+def against_few(batches, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs that agree of each bucket's failed documents with one another and with the rest.
+
+    Rows (bucket, doc_id, failed, sig), of a bucket the failed ones first. Only these are held.
+    """
+    few = sig = None
+    for new, b in _runs(batches, 0):
+        if new:
+            few, sig = b.column(1).slice(0, 0), np.zeros((0, BINS), np.uint32)
+        failed, x = b.column(2).to_numpy(zero_copy_only=False), _matrix(b.column(3))
+        for i in np.flatnonzero(failed):
+            to = np.flatnonzero(agreement(sig, x[i]) >= threshold)
+            if len(to):
+                yield _edges(b.column(1), few, np.full(len(to), i), to)
+            few, sig = pa.concat_arrays([few, b.column(1).slice(i, 1)]), np.concatenate([sig, x[i : i + 1]])
+        rest = np.flatnonzero(~failed)
+        for j in range(len(sig) if len(rest) else 0):
+            at = rest[agreement(x[rest], sig[j]) >= threshold]
+            if len(at):
+                yield _edges(b.column(1), few, at, np.full(len(at), j))
+
+
+def along_order(batches, threshold: float, window: int = WINDOW) -> Iterator[pa.RecordBatch]:
+    """Pairs that agree of each document with the ``window`` before it in its run.
+
+    Rows (run, doc_id, sig), sorted within a run. Only a window is held.
+    """
+    ids = sig = None
+    for new, b in _runs(batches, 0):
+        if new or ids is None:
+            ids, sig = b.column(1).slice(0, 0), np.zeros((0, BINS), np.uint32)
+        ids, sig = pa.concat_arrays([ids, b.column(1)]), np.concatenate([sig, _matrix(b.column(2))])
+        begin = len(ids) - b.num_rows
+        for w in range(1, window + 1):
+            at = np.arange(max(begin, w), len(ids))
+            at = at[agreement(sig[at], sig[at - w]) >= threshold]
+            if len(at):
+                yield _edges(ids, ids, at, at - w)
+        ids, sig = ids.slice(max(0, len(ids) - window)), sig[-window:]
+
+
+def further(members: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that agree in buckets where documents failed against the least one.
+
+    ``members`` are (bucket, doc_id, failed, fails): all documents of such buckets but
+    the least, whether each failed, and how many did.
+    """
+    out = f"a {_kind(members, 'doc_id')}, b {_kind(members, 'doc_id')}"
+    rows = members.join(sigs, "doc_id")
+    small = rows.where(F.col("fails") <= FEW).select("bucket", "doc_id", "failed", "sig").repartition("bucket").sortWithinPartitions("bucket", F.desc("failed"), "doc_id")
+    small = small.mapInArrow(lambda b: against_few(b, threshold), out)
+    step = BINS // ORDERS * 4
+    turn = F.expr(f"concat(substring(sig, t * {step} + 1), substring(sig, 1, t * {step}))")
+    large = rows.where(F.col("fails") > FEW).withColumn("t", F.explode(F.array(*[F.lit(i) for i in range(ORDERS)])))
+    # documents that agree in the first two places of an order are one run
+    large = large.withColumn("turned", turn).select(F.xxhash64("bucket", "t", F.substring("turned", 1, 8)).alias("run"), "doc_id", "sig", "turned")
+    large = large.repartition("run").sortWithinPartitions("run", "turned", "doc_id").select("run", "doc_id", "sig")
+    return small.unionByName(large.mapInArrow(lambda b: along_order(b, threshold), out))
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, str]:
@@ -177,45 +236,53 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, column: str =
     """(key, kept): each document that is a near copy, and the least key of its group.
 
     Copies are texts whose estimated Jaccard similarity over word 3-grams reaches the
-    threshold, directly or through others. Null keys and null or wordless texts take no
-    part; rows that share a key count as one document; ties go to the least key; other
-    columns aren't read; an empty table gives an empty result.
+    threshold, directly or through others. The search is approximate: two texts that
+    share no bucket, or share only buckets that are searched along sort orders and lie
+    far apart in all of these, are missed. Keys may be of any type that has an order. Null keys and
+    null or wordless texts take no part; rows that share a key count as one document,
+    compared by the least of their signatures; very long texts are read whole, one at a
+    time; ties go to the least key; other columns aren't read, so that their names can't
+    clash; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     s, s_path = written(sign(docs, column, key), "signatures")
     # texts with one signature are one document from here on: thousands of copies fill no bucket
-    w = Window.partitionBy("s1", "s2")
-    same = s.select("doc_id", "s1", "s2").withColumn("rep", F.min("doc_id").over(w)).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    exact, exact_path = written(same.distinct(), "exact")
+    rep = s.groupBy("s1", "s2").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    exact, exact_path = written(s.select(F.col("doc_id").alias("a"), "s1", "s2").join(rep, ["s1", "s2"]).where("a <> b").select("a", "b").distinct(), "exact")
     reps = s.join(exact.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti")
     rows = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    hub = F.min("doc_id").over(Window.partitionBy("bucket"))
-    stars, stars_path = written(rows.withColumn("hub", hub).where("hub <> doc_id"), "stars")
+    hubs = rows.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other")).where("hub <> other").drop("other")
+    stars, stars_path = written(rows.join(hubs, "bucket").where("hub <> doc_id"), "stars")
     pairs = stars.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sigs, sigs_path = written(s.select("doc_id", "sig").join(need, "doc_id").dropDuplicates(["doc_id"]), "compared")
+    sigs, sigs_path = written(s.select("doc_id", "sig").join(need, "doc_id").groupBy("doc_id").agg(F.min("sig").alias("sig")), "compared")
+    remove(spark, s_path)
     joined = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b")
     verdict, verdict_path = written(_agree(joined.select("a", "b", "x", "y"), threshold), "verdicts")
-    failed = verdict.where("not same").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"))
-    left = stars.join(failed, ["doc_id", "hub"], "left_semi").select("bucket", "doc_id").distinct()
-    left = left.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1").select("bucket", "doc_id")
-    more = _peel(left.join(sigs, "doc_id").select("bucket", "doc_id", "sig"), threshold)
+    failed = verdict.where("not same").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.lit(True).alias("failed"))
+    told = stars.distinct().join(failed, ["doc_id", "hub"], "left").select("bucket", "doc_id", F.coalesce("failed", F.lit(False)).alias("failed"))
+    told, told_path = written(told, "told")
+    fails = told.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("fails")).where("fails > 0 and n > 1").drop("n")
+    more, more_path = written(further(told.join(fails, "bucket"), sigs, threshold), "further")
     roots, _ = components(exact.unionByName(verdict.where("same").select("a", "b")).unionByName(more))
-    for p in (s_path, exact_path, stars_path, sigs_path, verdict_path):
+    for p in (exact_path, stars_path, sigs_path, verdict_path, told_path, more_path):
         remove(spark, p)
     return roots.select(F.col("node").alias(key), F.col("root").alias("kept"))
 
 
 def drop_copies(docs: DataFrame, threshold: float = THRESHOLD, column: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without near copies: one document of each group stays.
+    """The rows of ``docs`` without near copies: the document of least key of each group stays.
 
-    Of rows that share a key one stays. Rows that take no part in the search all stay.
+    Of rows that share a key one stays. Rows that take no part in the search (null keys,
+    null or wordless texts) all stay. Columns keep their names, whatever these are; an
+    empty table gives an empty result.
     """
-    gone = near_duplicates(docs, threshold, column, key).select(F.col(key).alias("_gone"))
-    rest = docs.join(gone, docs[key] == gone["_gone"], "left_anti")
-    repeated = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_twice")).count().where("count > 1").select("_twice")
-    once = rest.join(repeated, rest[key] == repeated["_twice"], "left_anti")
-    twice = rest.join(repeated, rest[key] == repeated["_twice"], "left_semi").dropDuplicates([key])
+    out, again = tx.free(docs.columns, "gone", "again")
+    gone = near_duplicates(docs, threshold, column, key).select(F.col(key).alias(out))
+    rest = docs.join(gone, F.col(key) == F.col(out), "left_anti")
+    repeated = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(again)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(again)
+    once = rest.join(repeated, F.col(key) == F.col(again), "left_anti")
+    twice = rest.join(repeated, F.col(key) == F.col(again), "left_semi").dropDuplicates([key])
     return once.unionByName(twice)
 
 
