@@ -6,8 +6,9 @@ of one meet the light ones of the other, the most unequal ones first, until one
 partition is left. When a window exceeds the capacity, one more window is tried.
 
 A differencing over everything would be one task, so documents are dealt by a hash
-into groups of a given token volume, each packed by itself: windows are near-equal
-within a group, and the number of groups follows the input.
+into groups of a given volume of rests, each packed by itself: windows are near-equal
+within a group, the number of groups follows the input, and a group rounds its number of
+windows up by less than one.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as tx
 from tidemark.sources.shared import written
 
-SCHEMA = "window_id string, window_tokens long, piece int, doc_id long, start long, tokens long"
+SCHEMA = "window_id string, window_tokens long, piece int, doc_id {}, start long, tokens long"
 
 
 def difference(sizes: np.ndarray, k: int, capacity: int | None = None) -> np.ndarray | int:
@@ -95,7 +96,7 @@ def fill(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
         k += max(1, w // capacity)
 
 
-def pack_group(doc: np.ndarray, tokens: np.ndarray, capacity: int, name: str) -> pd.DataFrame:
+def pack_group(doc: pa.Array, tokens: np.ndarray, capacity: int, name: str) -> pa.Table:
     """Rows of one group: every document's tokens, each in exactly one window."""
     full = tokens // capacity
     rest = tokens - full * capacity
@@ -112,44 +113,61 @@ def pack_group(doc: np.ndarray, tokens: np.ndarray, capacity: int, name: str) ->
     total = np.bincount(window, size).astype(np.int64) if len(window) else np.zeros(0, np.int64)
     first = np.r_[True, window[1:] != window[:-1]] if len(window) else np.zeros(0, bool)
     at = np.arange(len(window)) - np.maximum.accumulate(np.where(first, np.arange(len(window)), 0))
-    return pd.DataFrame({"window_id": [f"{name}-{x}" for x in window], "window_tokens": total[window] if len(window) else total, "piece": at.astype("int32"), "doc_id": doc.take(idx), "start": start, "tokens": size})
+    return pa.table({"window_id": pa.array([f"{name}-{x}" for x in window], pa.string()), "window_tokens": total[window] if len(window) else total, "piece": at.astype(np.int32), "doc_id": doc.take(pa.array(idx)), "start": start, "tokens": size})
 
 
 def lengths(docs: DataFrame, column: str, key: str) -> DataFrame:
-    """Key and number of words (runs of anything but ASCII white space) of each text."""
+    """Key, number of words (runs of anything but ASCII white space) and a salt of each text.
 
-    def count(batches) -> Iterator:
-        import pyarrow as pa
+    The salt is 0 but for null keys, which it spreads over the groups.
+    """
 
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for b in batches:
             n = np.zeros(b.num_rows, np.int64)
             for lo, hi, data, offs in tx.slices(b.column(1)):
                 _, _, rows = tx.words(data, offs)
                 n[lo:hi] = np.bincount(rows, minlength=hi - lo)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], ["doc_id", "tokens"])
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text")).mapInArrow(count, "doc_id long, tokens long")
-
-
-def pack(docs: DataFrame, capacity: int = 2048, windows_per_group: int = 128, column: str = "text", key: str = "doc_id") -> DataFrame:
-    """Windows of at most ``capacity`` words: a row for each piece of a text in a window.
-
-    Columns: window, its fill, place in the window, document, first word and number of
-    words. Null, empty and blank texts have no words and so no rows; a null key stays
-    null; repeated rows are packed once each; equal sizes are ordered by key, so that
-    equal input gives equal windows; other columns are not read; an empty table gives
-    an empty result. Only keys and lengths are shuffled.
+            null = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.where(null, seen + np.cumsum(null), 0))], ["doc_id", "tokens", "salt"])
+            seen += int(null.sum())
+
+    d = docs.select(F.col(key).alias("doc_id"), F.col(column).cast("string").alias("text"))
+    return d.mapInArrow(count, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, tokens long, salt long")
+
+
+def pack(docs: DataFrame, capacity: int = 2048, windows_per_group: int = 128, column: str = "text", key: str = "doc_id", tokens: str | None = None) -> DataFrame:
+    """Windows of at most ``capacity`` tokens: a row for each piece of a text in a window.
+
+    Tokens are the words of ``column``, or their number stands in the column ``tokens``
+    (such as ``n_tokens`` of the byte-pair encoder), and ``column`` isn't read. Columns of the result: window, its
+    fill, place in the window, document, first token and number of tokens. Null, empty
+    and blank texts have no tokens and so no rows; very long texts fill windows of their
+    own and a rest; keys keep their type, and a null key stays null; repeated rows are
+    packed once each; equal sizes are ordered by key, so that equal input gives equal
+    windows (rows with null keys are dealt by their place in the input); other columns
+    are not read, so that their names can't clash; an empty table gives an empty result.
+    Only keys and lengths are shuffled.
     """
-    d, _ = written(lengths(docs, column, key), "lengths")
-    d = d.where("tokens > 0")
-    total = d.agg(F.sum("tokens")).first()[0] or 0
-    groups = max(1, -(-total // (capacity * windows_per_group)))
-
-    def work(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tokens", "doc_id"], kind="stable", ignore_index=True)
-        return pack_group(pdf["doc_id"].astype("Int64").array, pdf["tokens"].to_numpy(np.int64), capacity, f"{int(keys[0]):08d}")
-
-    return d.withColumn("_g", F.pmod(F.xxhash64("doc_id"), F.lit(groups))).groupBy("_g").applyInPandas(work, SCHEMA)
+    if capacity < 1 or windows_per_group < 1:
+        raise ValueError("capacity and windows_per_group must be positive")
+    if tokens is None:
+        d = lengths(docs, column, key)
+    else:
+        salt = F.when(F.col(key).isNull(), F.monotonically_increasing_id()).otherwise(0)
+        d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("tokens"), salt.alias("salt"))
+    d, _ = written(d.where("tokens > 0"), "lengths")
+    rest, full = d.agg(F.sum(F.col("tokens") % capacity), F.sum(F.floor(F.col("tokens") / capacity))).first()
+    # rests are what is packed; full windows cost next to nothing, but their rows must fit a task
+    groups = max(1, -(-(rest or 0) // (capacity * windows_per_group)), -(-int(full or 0) // (1000 * windows_per_group)))
+
+    def work(keys: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("tokens", "ascending"), ("doc_id", "ascending")])
+        return pack_group(t.column("doc_id").combine_chunks(), t.column("tokens").to_numpy(), capacity, f"{keys[0].as_py():08d}")
+
+    grouped = d.select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(groups)).alias("g")).groupBy("g")
+    return grouped.applyInArrow(work, SCHEMA.format(d.schema["doc_id"].dataType.simpleString()))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
