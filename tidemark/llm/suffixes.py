@@ -3,16 +3,24 @@
 Every window of ``LENGTH`` words holds a chosen word n-gram (winnowing: the least hash
 of its n-grams), the same one wherever the window occurs. N-grams chosen once can't lie
 in a repeat, and the rest split the suffixes into independent collections: all texts
-around one n-gram. Each collection is indexed column by column: every round puts one
-more symbol in front of every text, finds the place of the longer suffix from the
-Burrows-Wheeler transform so far (the rank of its symbol before the old place), and
-updates the transform and the common prefixes in one pass from one sequential file to
-the next. Neighbours with LENGTH symbols in common are occurrences of one passage; the
-first (by document, then place) is kept.
+around one n-gram, the only ones that are indexed. That is exact, as every occurrence of
+a window lies in the collection of its n-gram. Each collection is indexed column by
+column: every round puts one more symbol in front of every text and finds the place of
+the longer suffix by its rank in the Burrows-Wheeler transform so far. The transform is
+kept by symbol (symbol, place), so that the rank of a symbol before a place is a binary
+search; it and the common prefixes go from one sequential file to the next, and nothing
+but the texts' own places stays in memory between rounds. Neighbours with LENGTH symbols
+in common are occurrences of one passage; the first (by document, then place) is kept.
+
+An n-gram with more than ``HOT`` places would make a collection that no task holds. Its
+texts are split by the longest context that a window can have, the whole window: each
+window around it goes by its hash to a sorted run, whose first row is the first
+occurrence, so that nothing is held at all.
 """
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -24,9 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import text as tx
-from tidemark.sources.shared import new_path, remove, written
+from tidemark.sources.shared import arrow_folder, gone_at_exit, new_path, remove, written
 
 LENGTH, GRAM = 50, 25
+#: Places of an n-gram beyond which its windows are told apart by their hashes.
+HOT = 16_000
 #: Symbols indexed together, unless one n-gram alone has more.
 CHUNK = 1_200_000
 
@@ -35,9 +45,7 @@ class Spool:
     """Sequential files in a folder that all machines share: one per round, the last one kept."""
 
     def __init__(self, folder: str):
-        from pyarrow import fs
-
-        self.fs, root = fs.FileSystem.from_uri(folder)
+        self.fs, root = arrow_folder(folder)
         self.root = f"{root}/{uuid.uuid4().hex}"
         self.fs.create_dir(self.root, recursive=True)
         self.last: str | None = None
@@ -86,53 +94,48 @@ def index(texts: list[np.ndarray] | tuple[np.ndarray, np.ndarray], spool) -> tup
     m = len(size)
     end = np.cumsum(size)
     small = np.uint8 if size.max(initial=0) < 250 else np.uint32
-    first = np.zeros(m, np.int64)
-    tail = np.arange(m)
-    who, length = np.arange(m, dtype=np.int32), np.zeros(m, small)
-    place = np.arange(m)
-    spool.put(np.zeros(m, np.int32), np.zeros(m, small))
+    place = np.arange(m)  # of each text's longest suffix so far
+    # the transform by symbol: entry i, the i-th suffix, begins with sym[i] and is that symbol before the suffix at tail[i]
+    n = m
+    spool.put(np.zeros(m, np.int32), np.arange(m), np.zeros(m, small), np.arange(m, dtype=np.int32), np.zeros(m, small))
     for r in range(1, int(size.max(initial=0)) + 1):
-        n = len(first)
-        bwt, lcp = spool.get(n, np.int32, small)
+        sym, tail, lcp, who, length = spool.get(n, np.int32, np.int64, small, np.int32, small)
         active = np.flatnonzero(size >= r)
         c = flat[end[active] - r].astype(np.int64)
-        bwt = bwt.copy()
-        bwt[place[active]] = c
-        # old suffixes are sorted by (first symbol, place of the tail); the new ones join that order
+        # rank of c before the place, with those of all lesser symbols
         span = n + 1
         key = c * span + place[active]
         o = np.argsort(key)
-        at = np.searchsorted(first * span + tail, key[o])
-        new = at + np.arange(len(at))
-        total = n + len(at)
+        new = np.searchsorted(sym.astype(np.int64) * span + tail, key[o]) + np.arange(len(active))
+        total = n + len(active)
         old = np.ones(total, bool)
         old[new] = False
         where = np.flatnonzero(old)  # new place of each old suffix
 
-        def joined(a, b, kind, old=old, new=new, total=total):
-            out = np.empty(total, kind)
+        def joined(a, b, old=old, new=new, total=total):
+            out = np.empty(total, a.dtype)
             out[old] = a
             out[new] = b
             return out
 
-        first = joined(first, c[o], np.int64)
-        tail = joined(tail, place[active][o], np.int64)
-        who, length = joined(who, active[o], np.int32), joined(length, r, small)
-        lcp2 = joined(lcp, 0, small)
+        sym, tail, who, length = joined(sym, c[o]), joined(tail, place[active][o]), joined(who, active[o]), joined(length, r)
+        lcp2 = joined(lcp, 0)
         touched = np.unique(np.concatenate([new, new + 1]))
         touched = touched[(touched < total) & (touched > 0)]
-        same = (first[touched] == first[touched - 1]) & (first[touched] > 0)
+        same = (sym[touched] == sym[touched - 1]) & (sym[touched] > 0)
         lcp2[touched[~same]] = 0
         q = touched[same]
         if len(q):
             lcp2[q] = _range_min(lcp, tail[q - 1] + 1, tail[q]) + 1
-        spool.put(joined(bwt, 0, np.int32), lcp2)
         tail = where[tail]
-        tail[first == 0] = np.flatnonzero(first == 0)
-        moved = where[place]
-        moved[active[o]] = new
-        place = moved
-    bwt, lcp = spool.get(len(first), np.int32, small)
+        tail[sym == 0] = np.flatnonzero(sym == 0)
+        spool.put(sym, tail, lcp2, who, length)
+        place = where[place]
+        place[active[o]] = new
+        n = total
+    sym, tail, lcp, who, length = spool.get(n, np.int32, np.int64, small, np.int32, small)
+    bwt = np.zeros(n, np.int32)
+    bwt[tail[sym > 0]] = sym[sym > 0]
     return who, length, lcp, bwt
 
 
@@ -207,14 +210,17 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, column: st
 
     A word counts if it lies in a window of ``length`` words whose words all occur, in
     that order, before: in a document of lesser key, or earlier in the same one. Words
-    are runs between ASCII white space. Null keys and null texts take no part; rows
-    equal in key and text are one document, rows of one key with other texts are
-    ordered by a hash of the text; other columns aren't read; an empty table gives an
-    empty result.
+    are runs between ASCII white space. Keys may be of any type that has an order. Null
+    keys, null, empty and blank texts take no part; rows equal in key and text are one
+    document, rows of one key with other texts are ordered by a hash of the text; very
+    long texts are read whole, one at a time; other columns aren't read, so that their
+    names can't clash; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     folder = new_path(spark, "columns")
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    gone_at_exit(spark, folder)
+    d = docs.select(F.col(key).alias("doc_id"), F.col(column).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    d, names = tx.numbered(d, "doc_id")
     d = d.withColumn("t", F.xxhash64("text", F.length("text")))
 
     def choose(batches) -> Iterator[pa.RecordBatch]:
@@ -231,34 +237,53 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, column: st
 
     chosen, chosen_path = written(d.select("doc_id", "t", "text").mapInArrow(choose, "doc_id long, t long, g long, at int"), "ngrams")
     # equal texts: the least key stands for all, the others repeat it whole
-    w = Window.partitionBy("t", "at")
-    whole = chosen.where("g is null").select("doc_id", "t", "at").distinct().withColumn("rep", F.min("doc_id").over(w)).where("doc_id <> rep").select("doc_id", "t", F.col("at").alias("words"), "rep")
-    whole, whole_path = written(whole, "whole")
+    whole = chosen.where("g is null").select("doc_id", "t", "at")
+    first = whole.groupBy("t", "at").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where("rep <> other").drop("other")
+    whole, _ = written(whole.join(first, ["t", "at"]).where("doc_id <> rep").select("doc_id", "t", F.col("at").alias("words"), "rep").distinct(), "whole")
     seen = chosen.where("g is not null").repartition("g").groupBy("g", "t", "at").agg(F.min("doc_id").alias("doc_id"))
-    hot = seen.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("n > 1")
-    places, places_path = written(hot.groupBy("doc_id", "t").agg(F.sort_array(F.collect_list(F.struct("at", "g"))).alias("at")), "places")
+    # with the exchange by g in place, this is one sort; rows are four numbers, and beyond memory they spill
+    shared = seen.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("n > 1").withColumn("hot", F.col("n") > HOT)
+    places, places_path = written(shared.groupBy("doc_id", "t").agg(F.sort_array(F.collect_list(F.struct("at", "g", "hot"))).alias("at")), "places")
     remove(spark, chosen_path)
 
+    fields = ["g", "doc_id", "t", "begin", "words"]
+
     def cut(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 data, offs = tx.raw(b.column(2).slice(i, 1))
                 starts, ends, _ = tx.words(data, offs)
-                h = (tx.hashes(data, starts, ends) >> np.uint64(32)).astype(np.uint32)
+                full = tx.hashes(data, starts, ends)
+                h = (full >> np.uint64(32)).astype(np.uint32)
                 at = b.column(3)[i].values
-                g, pos = at.field("g"), np.asarray(at.field("at"), np.int64)
+                g, pos = at.field("g").to_numpy(), np.asarray(at.field("at"), np.int64)
+                hot = at.field("hot").to_numpy(zero_copy_only=False)
+                who = (b.column(0)[i].as_py(), b.column(1)[i].as_py())
+                yield from _windows(full, pos[hot], who, length, gram)
+                g, pos = g[~hot], pos[~hot]
                 lo = np.maximum(pos - (length - gram), 0)
                 size = np.minimum(pos + length, len(h)) - lo
-                flat = h[tx.ragged(lo, size)]
                 for k in range(0, len(pos), 20_000):
                     e = min(k + 20_000, len(pos))
                     off = np.concatenate([[0], np.cumsum(size[k:e])])
-                    base = int(size[:k].sum())
-                    body = flat[base : base + off[-1]]
-                    yield pa.RecordBatch.from_arrays([g.slice(k, e - k), pa.array(np.full(e - k, b.column(0)[i].as_py(), np.int64)), pa.array(np.full(e - k, b.column(1)[i].as_py(), np.int64)), pa.array(lo[k:e].astype(np.int32)), pa.Array.from_buffers(pa.binary(), e - k, [None, pa.py_buffer((off * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))])], ["g", "doc_id", "t", "begin", "words"])
+                    body = h[tx.ragged(lo[k:e], size[k:e])]
+                    yield pa.RecordBatch.from_arrays([pa.array(g[k:e]), pa.array(np.full(e - k, who[0], np.int64)), pa.array(np.full(e - k, who[1], np.int64)), pa.array(lo[k:e].astype(np.int32)), pa.Array.from_buffers(pa.binary(), e - k, [None, pa.py_buffer((off * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))])], fields)
+
+    def _windows(full: np.ndarray, pos: np.ndarray, who: tuple[int, int], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+        # a row without words for each window around a hot n-gram, by the window's hash
+        lo, hi = np.maximum(pos - (length - gram), 0), np.minimum(pos, len(full) - length)
+        begin = np.unique(tx.ragged(lo, np.maximum(hi - lo + 1, 0)))
+        if not len(begin):
+            return
+        p, inv = tx._power(len(full) + 1)
+        s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(full * p[: len(full)], dtype=np.uint64)])
+        name = tx.mix((s[begin + length] - s[begin]) * inv[begin])
+        n = len(begin)
+        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.full(n, who[0], np.int64)), pa.array(np.full(n, who[1], np.int64)), pa.array(begin.astype(np.int32)), pa.nulls(n, pa.binary())], fields)
 
     around = d.join(places, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "text", "at")
-    around = around.mapInArrow(cut, "g long, doc_id long, t long, begin int, words binary").repartition("g").sortWithinPartitions("g")
+    around = around.mapInArrow(cut, "g long, doc_id long, t long, begin int, words binary").withColumn("window", F.col("words").isNull())
+    around = around.repartition("window", "g").sortWithinPartitions("window", "g", "doc_id", "t", "begin").select(*fields)
     schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("src", pa.int64())])
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -282,7 +307,39 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, column: st
         hi = np.r_[lo[1:], len(dn)] - 1
         yield pa.RecordBatch.from_arrays([pa.array(docs_[dn[lo], 0]), pa.array(docs_[dn[lo], 1]), pa.array(place[lo].astype(np.int32)), pa.array((place[hi] + length).astype(np.int32)), pa.array(docs_[src[lo], 0])], schema=schema)
 
+    def again(batches) -> Iterator[pa.RecordBatch]:
+        # rows of windows by hash, then place: the first of each hash is the first occurrence
+        last = before = None  # the last row, and the document of the first of its hash
+        for b in batches:
+            g, doc, t, at = (b.column(i).to_numpy() for i in range(4))
+            if not len(g):
+                continue
+            rows = np.stack([g, doc, t, at.astype(np.int64)], 1)
+            prior = np.concatenate([last if last is not None else rows[:1] - 1, rows[:-1]])
+            new, twice = rows[:, 0] != prior[:, 0], (rows == prior).all(1)
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
+            src = np.where(lead >= 0, doc[lead], before if before is not None else 0)
+            keep = np.flatnonzero(~new & ~twice)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(t[keep]), pa.array(at[keep]), pa.array(at[keep] + np.int32(length)), pa.array(src[keep])], schema=schema)
+            last, before = rows[-1:], src[-1]
+
     def gather(batches) -> Iterator[pa.RecordBatch]:
+        """A partition's rows: those with words, then those of windows."""
+        batches, rest = iter(batches), []
+
+        def with_words() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                k = b.num_rows - b.column(4).null_count
+                if k:
+                    yield b.slice(0, k)
+                if k < b.num_rows:
+                    rest.append(b.slice(k))
+                    return
+
+        yield from texts(with_words())
+        yield from again(itertools.chain(rest, batches))
+
+    def texts(batches) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
             held.append(b)
@@ -319,29 +376,33 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, column: st
     spans = runs.withColumn("new", (reach.isNull() | (F.col("lo") > reach)).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     spans = spans.groupBy("doc_id", "t", "island").agg(F.min("lo").alias("start"), F.max("hi").alias("end"), F.min(F.struct("lo", "src")).alias("s")).select("doc_id", "t", "start", "end", F.col("s.src").alias("first_doc_id"))
     spans, _ = written(spans, "spans")
+    remove(spark, runs_path)
     begins = spans.where("start = 0").select(F.col("doc_id").alias("rep"), "t", F.col("first_doc_id").alias("earlier"))
     copied = whole.join(begins, ["rep", "t"], "left").select("doc_id", "t", F.lit(0).alias("start"), F.col("words").alias("end"), F.coalesce("earlier", "rep").alias("first_doc_id"))
-    return spans.unionByName(copied).withColumnRenamed("t", "text_hash")
+    return tx.named(spans.unionByName(copied).withColumnRenamed("t", "text_hash"), names, "doc_id", "first_doc_id")
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, column: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without the spans that repeat earlier text; rows of which no word is left go.
 
-    Rows without spans come back as they were; of others the text is cut, and
-    ``n_chars`` (where there is such a column) follows. Columns keep names and order.
+    Rows without spans (among them those with null keys or null, empty or blank texts)
+    come back as they were; of others the text is cut, and ``n_chars`` (where there is
+    such a column) follows. Rows equal in key and text are cut alike. Columns keep names
+    and order, whatever they are called; an empty table stays empty.
     """
-    spans = repeated(docs, length, column=column, key=key).groupBy(F.col("doc_id").alias("__rep_k"), F.col("text_hash").alias("__rep_t")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__rep_spans"))
+    k, t, cuts, own, new = tx.free(docs.columns, "rep_key", "rep_text", "rep_spans", "rep_hash", "rep_new")
+    spans = repeated(docs, length, column=column, key=key)
+    spans = spans.groupBy(F.col("doc_id").alias(k), F.col("text_hash").alias(t)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))
     text = F.col(column).cast("string")
-    d = docs.withColumn("__rep_h", F.xxhash64(text, F.length(text)))
-    d = d.join(spans, (F.col(key).cast("long") == F.col("__rep_k")) & (F.col("__rep_h") == F.col("__rep_t")), "left")
-    hit = F.col("__rep_spans").isNotNull()
-    d = d.withColumn("__rep_new", F.when(hit, _cut(text, F.col("__rep_spans"))).otherwise(text)).where(~hit | F.col("__rep_new").rlike(r"[^\x09-\x0d\x1c-\x20]"))
+    d = docs.withColumn(own, F.xxhash64(text, F.length(text))).join(spans, (F.col(key) == F.col(k)) & (F.col(own) == F.col(t)), "left")
+    hit = F.col(cuts).isNotNull()
+    d = d.withColumn(new, F.when(hit, _cut(text, F.col(cuts))).otherwise(text)).where(~hit | F.col(new).rlike(r"[^\x09-\x0d\x1c-\x20]"))
     cols = []
     for c in docs.columns:
         if c == column:
-            cols.append(F.col("__rep_new").alias(c))
+            cols.append(F.col(new).alias(c))
         elif c == "n_chars":
-            cols.append(F.when(hit, F.length("__rep_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            cols.append(F.when(hit, F.length(new).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
             cols.append(F.col(c))
     return d.select(*cols)
