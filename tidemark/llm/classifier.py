@@ -43,6 +43,7 @@ class Model:
     level: float  # share of all documents' scores below the threshold
     held_out_accuracy: float
     judged: int  # labelled documents the threshold was chosen on
+    fitted: int  # those the weights come from
 
 
 def _sum(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -104,17 +105,27 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, pairs: int, ridge: float, seed: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_words: int = 2000, least_df: int = 8, pairs: int = 40_000, ridge: float = 1e-4, care: float = 4.0, seed: int = 7, column: str = "text", key: str = "doc_id") -> Model | None:
-    """Weights from at most ``max_train`` labelled rows, chosen by a hash of the key, and
-    a threshold from all documents.
-
-    Only these rows' features and counts by score bin reach the driver. None when a
-    class is missing.
+    """Weights from at most ``max_train`` labelled rows, half of each class and chosen by
+    a hash of the key, and a threshold from all documents.
+
+    The sample bounds the model: its words are the ``max_words`` that tell the classes
+    apart best, of those in ``least_df`` rows of the sample or more, and its ``pairs``
+    are drawn from the sample's rows. Only these rows' features and counts by score bin
+    reach the driver. A document is preferred if no label of its key says otherwise;
+    null keys and null qualities are no labels, a null toxicity is none. Null, empty and
+    wordless texts play no part; very long ones count whole. Rows that share a key are
+    one document in the sample (its least text) and each count for the threshold. Ties
+    in the choice of words go to the lesser hash, of thresholds the middle one is taken.
+    Keys may be of any type. Other columns aren't read, so that their names can't clash.
+    None when a class is missing from all labelled documents, or the tables are empty.
     """
     lab = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("good"))
-    ids = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
-    have = ids.where(F.col("text").isNotNull()).select("doc_id").join(lab, "doc_id").distinct()
-    chosen = have.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_train)
-    sample = ids.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # bounded by max_train
+    ids = docs.select(F.col(key).alias("doc_id"), F.col(column).cast("string").alias("text"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"))
+    have = ids.where(F.col("text").isNotNull()).select("doc_id", "h").join(lab, "doc_id").distinct()
+    share = [max_train - max_train // 2, max_train // 2]
+    chosen = [have.where(c).orderBy("h", "doc_id").limit(n) for c, n in zip(("good", "not good"), share)]
+    chosen = chosen[0].unionByName(chosen[1]).drop("h")
+    sample = ids.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "h", "good").agg(F.min("text").alias("text")).select("h", "text", "good")  # bounded by max_train
 
     def work(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,11 +133,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_words: in
                 r, h, style, count = features(data, offs)
                 cut = np.searchsorted(r, np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64))), pa.ListArray.from_arrays(pa.array((np.arange(hi - lo + 1) * STYLE).astype(np.int32)), pa.array(style.ravel()))], ["doc_id", "good", "words", "style"])
+                    [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64))), pa.ListArray.from_arrays(pa.array((np.arange(hi - lo + 1) * STYLE).astype(np.int32)), pa.array(style.ravel()))], ["h", "good", "words", "style"])
 
     from tidemark.sources.shared import remove, written
 
-    made, path = written(sample.mapInArrow(work, "doc_id long, good boolean, words array<long>, style array<double>"), "sample")
+    made, path = written(sample.mapInArrow(work, "h long, good boolean, words array<long>, style array<double>"), "sample")
     n_good, n_bad = (made.where("good").count(), made.where("not good").count())
     if not n_good or not n_bad:
         return None
@@ -145,12 +156,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_words: in
             hit = pc.is_in(flat, value_set=keep)
             v, q = flat.filter(hit), parent.filter(hit).to_numpy()
             cut = np.searchsorted(q, np.arange(b.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(cut), v), b.column(3)], ["doc_id", "good", "words", "style"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(cut), v), b.column(3)], ["h", "good", "words", "style"])
 
-    rows = made.mapInArrow(thin, "doc_id long, good boolean, words array<long>, style array<double>").toArrow().sort_by("doc_id")
+    rows = made.mapInArrow(thin, "h long, good boolean, words array<long>, style array<double>").toArrow().sort_by("h")
     remove(docs.sparkSession, path)
     good = rows.column("good").to_numpy()
-    ids_, n = rows.column("doc_id").to_numpy(), rows.num_rows
+    ids_, n = rows.column("h").to_numpy(), rows.num_rows
     style = np.array(rows.column("style").combine_chunks().flatten()).reshape(n, STYLE)
     mean, scale = style.mean(0), style.std(0) + 1e-6
     x = np.zeros((n, len(words) + STYLE), np.float32)
@@ -158,11 +169,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_words: in
     flat = np.asarray(lists.flatten()).view(np.uint64)
     x[np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets))), np.searchsorted(words, flat)] = 1
     x[:, len(words) :] = np.clip((style - mean) / scale, -6, 6)
-    held = tx.mix(ids_.astype(np.int64).view(np.uint64) + np.uint64(seed)) % np.uint64(5) == 0
+    held = tx.mix(np.array(ids_, np.int64).view(np.uint64)) % np.uint64(5) == 0
     if good[~held].all() or not good[~held].any():
         held[:] = False
     w = fit_pairs(x[~held], good[~held], pairs, ridge, seed)
-    m = Model(words, w, mean, scale, -np.inf, 0.0, 0.0, 0)
+    m = Model(words, w, mean, scale, -np.inf, 0.0, 0.0, 0, int((~held).sum()))
     return cut(ids, lab, m, ids_[~held], care)
 
 
@@ -176,12 +187,12 @@ def cut(ids: DataFrame, lab: DataFrame, m: Model, fitted: np.ndarray, care: floa
     def work(batches) -> Iterator[pa.RecordBatch]:
         known = pa.array(fitted, pa.int64())
         for b in batches:
-            used = pc.is_in(b.column(0), value_set=known)
+            used = pc.is_in(b.column(2), value_set=known)
             for lo, hi, data, offs in tx.slices(b.column(1)):
                 s = score_slice(m, data, offs)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.floor(s * BINS), mask=np.isnan(s)), used.slice(lo, hi - lo)], ["doc_id", "bin", "used"])
 
-    scored = ids.mapInArrow(work, "doc_id long, bin double, used boolean").where(F.col("bin").isNotNull())
+    scored = ids.mapInArrow(work, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, bin double, used boolean").where(F.col("bin").isNotNull())
     count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
     good, fresh = F.col("good"), ~F.col("used")
     got = scored.join(lab, "doc_id", "left").groupBy("bin").agg(F.count(F.lit(1)), count(good & fresh), count(~good & fresh), count(good), count(~good)).toArrow()
@@ -205,8 +216,10 @@ def score(docs: DataFrame, m: Model | None, column: str = "text", key: str = "do
     """(key, score, keep) for every row: kept are scores at or above the threshold.
 
     Null, empty and wordless texts have no score and aren't kept. Without a model (one
-    class or no labels) the others are kept unscored. Repeated rows are scored each; a
-    null key stays null; other columns aren't read.
+    class or no labels) the others are kept unscored. Very long texts are scored whole.
+    Ties at the threshold are kept. Repeated rows are scored each; a null key stays null,
+    keys may be of any type; other columns aren't read, so that their names can't clash;
+    an empty table gives an empty result.
     """
 
     def work(batches) -> Iterator[pa.RecordBatch]:
@@ -225,7 +238,11 @@ def score(docs: DataFrame, m: Model | None, column: str = "text", key: str = "do
 
 
 def keep_preferred(docs: DataFrame, m: Model | None, column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``score`` keeps, with the same columns; nothing is shuffled."""
+    """The rows of ``docs`` that ``score`` keeps, with the same columns; nothing is shuffled.
+
+    Null, empty and wordless texts go; repeated rows stay or go together; rows with null
+    keys are judged like any other; an empty table stays empty.
+    """
 
     def work(texts: pa.Array) -> pa.Array:
         out = []
