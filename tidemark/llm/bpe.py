@@ -4,7 +4,8 @@ An Aho-Corasick pass finds the longest token at every byte. The encoder takes it
 the pair with the token before is one that merging itself would leave side by side
 (the pair-compatibility table), else a shorter prefix token, else it steps back; each
 position is left at most once, so that the time is linear. The result is that of
-applying the merges by rank. Texts are first split as the vocabulary asks for, and the
+applying the merges by rank; the pair test follows the published backtracking algorithm
+for exact byte-pair encoding in linear time. Texts are first split as the vocabulary asks for, and the
 tokens of a piece seen before are looked up.
 """
 
@@ -26,6 +27,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose tokens a worker remembers before it starts anew.
 REMEMBER = 600_000
+#: Token pairs whose compatibility is remembered before the table starts anew.
+PAIRS = 1_000_000
 
 
 class Encoder:
@@ -114,6 +117,8 @@ class Encoder:
                     limit, a = a, right[a]
                     if a == limit:
                         break
+        if len(self._fits) >= PAIRS:
+            self._fits.clear()
         self._fits[key] = ok
         return ok
 
@@ -126,7 +131,7 @@ class Encoder:
                 if b[:n] in self.rank:
                     p = self.rank[b[:n]]
                     break
-            self._next_prefix[token] = p
+            self._next_prefix[token] = p  # at most one entry a token
         return p
 
     def piece(self, b: bytes) -> list[int]:
@@ -234,8 +239,9 @@ def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}", column: st
     """(key, tokens, n_tokens, round_trip) for every row.
 
     ``round_trip`` says whether decoding gives back the text's bytes. A null text has
-    null tokens, an empty one none; a null key stays null; repeated rows give repeated
-    rows; other columns are not read; an empty table gives an empty result. The
+    null tokens, an empty one none; very long texts are encoded whole; a null key stays
+    null, keys may be of any type; repeated rows give repeated rows; other columns are
+    not read, so that their names can't clash; an empty table gives an empty result. The
     vocabulary file must be at ``path`` on every executor.
     """
 
@@ -268,7 +274,11 @@ def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}", column: st
 
 
 def decode(tokens: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}", column: str = "tokens", key: str = "doc_id") -> DataFrame:
-    """(key, text) of token lists; null tokens give a null text."""
+    """(key, text) of token lists; null tokens give a null text, empty ones an empty text.
+
+    Null keys stay null, repeated rows give repeated rows, other columns aren't read, an
+    empty table gives an empty result; bytes that aren't UTF-8 become U+FFFD.
+    """
 
     def work(batches) -> Iterator[pa.RecordBatch]:
         e = encoder(path)

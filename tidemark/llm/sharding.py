@@ -122,7 +122,7 @@ def number(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, int]:
     with one row a partition carries the offsets.
     """
     cols = [F.col(c).cast("string") if t.startswith(("map", "variant")) else F.col(c) for c, t in docs.dtypes]
-    d = docs.select(F.col(key).alias("_k"), F.xxhash64(*cols).alias("_h"))
+    d = docs.select(F.col(key).alias("_k"), F.xxhash64(*cols).alias("_h"))  # a new table of two columns: names can't clash
     d = d.repartitionByRange("_k", "_h").sortWithinPartitions(F.asc_nulls_first("_k"), "_h").withColumn("_m", F.monotonically_increasing_id())
     d, _ = written(d.select("_k", "_m"), "numbered")
     d = d.withColumn("_p", F.shiftright("_m", 33))
