@@ -12,32 +12,54 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import classifier, minhash, packing, quality, suffixes
-from tidemark.sources.shared import written
+from tidemark.sources.shared import remove, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents whose tokenizer measures are out of their language's bands."""
+    """Without documents whose tokenizer measures are out of their language's bands.
+
+    Null, empty and tokenless texts go, rows with null keys are judged like others,
+    repeated rows stay or go together, an empty table stays empty.
+    """
     return quality.keep_good(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that score below the threshold learned from ``labels``."""
+    """Without documents that score below the threshold learned from ``labels``.
+
+    The model is fitted on at most 8000 labelled documents of what the stage before
+    kept; the threshold comes from all of it. Without labels of both classes, all
+    documents with words stay. Null and wordless texts go; null keys count as unlabelled.
+    """
     model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return classifier.keep_preferred(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the one of least key.
+
+    Rows with null keys or null or wordless texts all stay; of rows that share a key one
+    stays; an empty table stays empty.
+    """
     return minhash.drop_copies(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without passages of 50 words or more that occur before; emptied documents go."""
+    """Without passages of 50 words or more that occur before; emptied documents go.
+
+    Texts are cut, so what an earlier document holds stays there. Rows with null keys or
+    null texts stay as they are; rows equal in key and text are cut alike; an empty table
+    stays empty.
+    """
     return suffixes.drop_repeats(docs)
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-equal token windows over all that is left."""
+    """Near-equal windows of at most 2048 words over all that is left.
+
+    Texts without words have no rows, null keys stay null, repeated rows are packed
+    once each, an empty table gives no windows.
+    """
     return packing.pack(docs)
 
 
@@ -54,10 +76,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stage's result written in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs, _ = written(docs, name.replace(" ", "-"))
-    return docs
+    """All stages over ``documents``, each stage's result written in the shared folder.
+
+    A stage's result is removed once the next one's is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        docs, path = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
