@@ -2,18 +2,24 @@ import bisect
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import maintenance as M
 from tidemark.operators import ordered
 
 
 @pytest.fixture
-def many_buckets(monkeypatch):
-    monkeypatch.setattr(ordered, "BUCKET_ROWS", 20)
+def many_parts(spark):
+    """Small tables stay in several partitions, so that borders are crossed."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 @pytest.mark.parametrize("how", ["ge", "gt", "le", "lt"])
-def test_nearest_over_many_buckets(spark, many_buckets, how):
+def test_nearest_over_many_parts(spark, many_parts, how):
     random.seed(3)
     keys = sorted(random.sample(range(0, 4000, 2), 300))
     asked = [*random.sample(range(-10, 4020), 200), keys[0], keys[-1]]
@@ -28,7 +34,7 @@ def test_nearest_over_many_buckets(spark, many_buckets, how):
         assert r["k"] == want and r["v"] == (None if want is None else str(want))
 
 
-def test_rank_and_neighbours(spark, many_buckets):
+def test_rank_and_neighbours(spark, many_parts):
     keys = random.Random(5).sample(range(10_000), 400)
     d = spark.createDataFrame([(f"{k:05d}",) for k in keys], "k string")
     s = sorted(f"{k:05d}" for k in keys)
@@ -46,3 +52,11 @@ def test_nothing(spark):
 def test_batch_faults_in_order(spark):
     d = spark.createDataFrame([(0, 5), (1, 6), (2, 6), (3, 4)], "i long, seq long")
     assert M.batch_faults(d, "i").first()[0] == 2
+
+
+def test_arrival_order(spark, many_parts):
+    d = spark.range(0, 500, 1, 7).withColumn("key", F.lit("same"))
+    got = ordered.with_arrival(d, "at").collect()
+    assert sorted((r["at"], r["id"]) for r in got) == [(i, i) for i in range(500)]
+    twice = ordered.with_rank(d, ["key", "id"], "r").collect()
+    assert all(r["r"] == r["id"] for r in twice)

@@ -1,9 +1,11 @@
 """Global order without a single-task window.
 
-A window with no partition key runs in one task. Here rows are put into key-range
-buckets whose bounds are a deterministic hash sample of the keys, each bucket is
-solved by itself, and what crosses a border (a count, the last key before, the
-first key after) is carried over from a table of one row per bucket.
+A window with no partition key runs in one task. Here rows are range-partitioned and
+sorted once and written with their partition and place, so that the input is computed
+once more than for the sample of its keys; every later step reads that table. Each
+partition is solved by itself, and what crosses a border (a count, the last key before,
+the first key after) is carried over from a table of one row a partition. The number of
+partitions is that of any shuffle and grows with ``spark.sql.shuffle.partitions``.
 """
 
 from __future__ import annotations
@@ -11,65 +13,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows from which one bucket is made, and the most buckets (literals in a plan).
-BUCKET_ROWS, MOST_BUCKETS = 100_000, 256
-
-
-def bounds(df: DataFrame, col: str, rows: int | None = None) -> list:
-    """Sorted bucket bounds: keys chosen by their hash, at most ``MOST_BUCKETS`` - 1."""
-    n = df.count() if rows is None else rows
-    want = min(MOST_BUCKETS, n // BUCKET_ROWS + 1)
-    if want < 2:
-        return []
-    step = max(1, n // (want * 32))
-    keys = [
-        r[0]
-        for r in df.where(F.col(col).isNotNull() & (F.pmod(F.xxhash64(col), F.lit(step)) == 0))
-        .select(col)
-        .distinct()
-        .orderBy(F.xxhash64(col))
-        .limit(want * 64)
-        .collect()
-    ]
-    keys = sorted(bytes(k) if isinstance(k, bytearray) else k for k in keys)
-    return [keys[len(keys) * i // want] for i in range(1, want)] if len(keys) >= want else keys
-
-
-def bucket_of(col: str | Column, edges: list) -> Column:
-    """Index of the bucket: how many bounds are not above the key."""
-    c = F.col(col) if isinstance(col, str) else col
-    if not edges:
-        return F.lit(0)
-    edges = list(dict.fromkeys(edges))
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= c)), F.lit(0))
-
-
-def with_rank(df: DataFrame, col: str, name: str) -> DataFrame:
-    """Adds the 0-based global row number by ``col`` (which must be unique)."""
-    d = df.withColumn("__b", bucket_of(col, bounds(df, col)))
-    sizes = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
-    local = F.row_number().over(Window.partitionBy("__b").orderBy(col)) - 1
-    return d.withColumn("__r", local).join(F.broadcast(before), "__b").withColumn(name, F.col("__r") + F.col("__before")).drop("__b", "__r", "__before")
+from tidemark.sources.shared import written
+
+_MASK = (1 << 33) - 1
+
+
+def _laid_out(df: DataFrame, *order: str | Column) -> DataFrame:
+    """``df`` in global order: partition ``__p`` and, in it, place ``__m``."""
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    d = d.withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33).cast("int"))
+    return written(d, "ordered")[0]
+
+
+def with_rank(df: DataFrame, col: str | list[str], name: str) -> DataFrame:
+    """Adds the 0-based global row number by ``col``; rows equal in it are numbered in some order."""
+    d = _laid_out(df, *([col] if isinstance(col, str) else col))
+    sizes = d.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))  # a row a partition
+    d = d.join(F.broadcast(before), "__p").withColumn(name, F.col("__m").bitwiseAND(F.lit(_MASK)) + F.col("__before"))
+    return d.drop("__p", "__m", "__before")
+
+
+def with_arrival(df: DataFrame, name: str) -> DataFrame:
+    """Adds the 0-based row number in the order in which the rows come."""
+    d, _ = written(df.withColumn("__m", F.monotonically_increasing_id()), "arrived")
+    d = d.withColumn("__p", F.shiftright("__m", 33).cast("int"))
+    sizes = d.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))  # a row a partition
+    d = d.join(F.broadcast(before), "__p").withColumn(name, F.col("__m").bitwiseAND(F.lit(_MASK)) + F.col("__before"))
+    return d.drop("__p", "__m", "__before")
 
 
 def with_neighbours(df: DataFrame, col: str, nxt: str | None = None, prv: str | None = None) -> DataFrame:
     """Adds the next and the previous value of ``col`` in global order; null at the ends."""
-    d = df.withColumn("__b", bucket_of(col, bounds(df, col)))
-    ends = d.groupBy("__b").agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
-    w = Window.orderBy("__b")
-    ends = ends.select("__b", F.lead("__lo").over(w).alias("__after"), F.lag("__hi").over(w).alias("__prior"))
-    local = Window.partitionBy("__b").orderBy(col)
+    d = _laid_out(df, col)
+    ends = d.groupBy("__p").agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
+    w = Window.orderBy("__p")
+    ends = ends.select("__p", F.lead("__lo").over(w).alias("__after"), F.lag("__hi").over(w).alias("__prior"))
+    local = Window.partitionBy("__p").orderBy("__m")
     if nxt:
         d = d.withColumn(nxt, F.lead(col).over(local))
     if prv:
         d = d.withColumn(prv, F.lag(col).over(local))
-    d = d.join(F.broadcast(ends), "__b")
+    d = d.join(F.broadcast(ends), "__p")
     if nxt:
         d = d.withColumn(nxt, F.coalesce(nxt, "__after"))
     if prv:
         d = d.withColumn(prv, F.coalesce(prv, "__prior"))
-    return d.drop("__b", "__after", "__prior")
+    return d.drop("__p", "__m", "__after", "__prior")
 
 
 def nearest(probes: DataFrame, rows: DataFrame, probe: str, key: str, how: str, payload: list[str] | None = None) -> DataFrame:
@@ -81,21 +72,18 @@ def nearest(probes: DataFrame, rows: DataFrame, probe: str, key: str, how: str,
     """
     if how not in ("ge", "gt", "le", "lt"):
         raise ValueError(how)
-    edges = bounds(rows.select(key), key)
     down = how in ("le", "lt")
     item = F.struct(F.col(key).alias("k"), *[F.col(c) for c in payload or []])
-    # at equal keys, rows must come before the probe when equality counts
-    row_first = how in ("ge", "le")
-    a = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.lit(0 if row_first else 1).alias("_o"), item.alias("_item"), F.lit(False).alias("_probe"))
-    b = probes.select(F.col(probe).alias("_k"), F.lit(1 if row_first else 0).alias("_o"), F.lit(None).cast(a.schema["_item"].dataType).alias("_item"), F.lit(True).alias("_probe"))
-    u = a.unionByName(b).withColumn("__b", bucket_of("_k", edges))
-    order = (F.asc("_k"), F.asc("_o")) if down else (F.desc("_k"), F.asc("_o"))
-    w = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # read downwards for le and lt, upwards for ge and gt: at equal keys a row comes before the probe when equality counts
+    first = how in ("le", "gt")
+    a = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.lit(0 if first else 1).alias("_o"), item.alias("_item"), F.lit(False).alias("_probe"))
+    b = probes.select(F.col(probe).alias("_k"), F.lit(1 if first else 0).alias("_o"), F.lit(None).cast(a.schema["_item"].dataType).alias("_item"), F.lit(True).alias("_probe"))
+    u = _laid_out(a.unionByName(b), "_k", "_o")
+    w = Window.partitionBy("__p").orderBy(F.asc("__m") if down else F.desc("__m")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = u.withColumn("_near", F.last("_item", ignorenulls=True).over(w)).where("_probe")
-    side = a.withColumn("__b", bucket_of("_k", edges)).groupBy("__b").agg((F.max_by if down else F.min_by)("_item", "_k").alias("_edge"))
-    every = a.sparkSession.range(len(set(edges)) + 1).select(F.col("id").cast("int").alias("__b"))
-    w = Window.orderBy(F.asc("__b") if down else F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = every.join(side, "__b", "left").select("__b", F.last("_edge", ignorenulls=True).over(w).alias("_carry"))
-    out = found.join(F.broadcast(carry), "__b", "left")
+    edge = (F.max_by if down else F.min_by)("_item", F.when(F.col("_item").isNotNull(), F.col("__m")))
+    w = Window.orderBy(F.asc("__p") if down else F.desc("__p")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = u.groupBy("__p").agg(edge.alias("_edge")).select("__p", F.last("_edge", ignorenulls=True).over(w).alias("_carry"))  # a row a partition
+    out = found.join(F.broadcast(carry), "__p")
     near = F.when(F.col("_k").isNotNull(), F.coalesce("_near", "_carry"))
     return out.select(F.col("_k").alias(probe), near["k"].alias(key), *[near[c].alias(c) for c in payload or []])
