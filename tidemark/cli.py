@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import argparse
 import json
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import readable, to_hex
-from tidemark.store.db import Config, Store
+from tidemark.store.db import Store
 
 LIMIT = 100
 
 
-def run(spark: SparkSession, args: list[str]) -> list[str]:
-    """Lines that a command prints; at most 100 records."""
+def run(spark: SparkSession, args: list[str]) -> Iterator[str]:
+    """Lines that a command prints: of dumps all records, of lookups at most 100."""
+    return iter(lines(spark, args))
+
+
+def lines(spark: SparkSession, args: list[str]) -> Iterable[str]:
     p = argparse.ArgumentParser("tidemark")
     p.add_argument("path")
     p.add_argument("command", choices=["getstats", "getrecord", "getmeta", "dumpvalue2file", "tableinfo", "compactupto", "overview", "logmeta", "dumplog", "kvmeta", "dumpkv", "loglevel"])
@@ -29,7 +34,7 @@ def run(spark: SparkSession, args: list[str]) -> list[str]:
     if a.command == "loglevel":
         spark.sparkContext.setLogLevel(a.arg or "WARN")
         return [a.arg or "WARN"]
-    db = Store.open(spark, a.path, None if a.command == "compactupto" else Config(read_only=True))
+    db = Store.open(spark, a.path, read_only=a.command != "compactupto")
     if a.command == "getstats":
         return [f"{k}: {v}" for k, v in db.stats().items()]
     if a.command in ("tableinfo", "kvmeta"):
@@ -40,9 +45,9 @@ def run(spark: SparkSession, args: list[str]) -> list[str]:
     if a.command == "compactupto":
         return [f"{db.compact_upto(int(a.arg))} tables"]
     if a.command == "dumplog":
-        rows = db.log_section().orderBy("seq").limit(LIMIT)
+        rows = db.log_section().orderBy("seq")
     elif a.command == "dumpkv":
-        rows = db.range().limit(LIMIT)
+        rows = db.range()
     elif a.seq:
         low, _, high = a.arg.partition("-")
         rows = db.seq_scan(int(low), int(high or low)).limit(LIMIT)
@@ -62,10 +67,11 @@ def run(spark: SparkSession, args: list[str]) -> list[str]:
     shown = ["seq", "type", readable("key").alias("key"), to_hex("meta").alias("meta")]
     if a.command != "getmeta":
         shown.append(readable("value").alias("value"))
-    return [json.dumps(r.asDict()) for r in rows.select(*shown, F.octet_length("value").alias("value_bytes")).collect()]
+    return (json.dumps(r.asDict()) for r in rows.select(*shown, F.octet_length("value").alias("value_bytes")).toLocalIterator())
 
 
 if __name__ == "__main__":
     import sys
 
-    print("\n".join(run(SparkSession.builder.getOrCreate(), sys.argv[1:])))
+    for line in run(SparkSession.builder.getOrCreate(), sys.argv[1:]):
+        print(line)

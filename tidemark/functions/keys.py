@@ -21,10 +21,9 @@ def starts_with(key: Column, prefix: bytes | str) -> Column:
     text = isinstance(prefix, str)
     lit = (lambda b: F.lit(b.decode("utf-8", "strict"))) if text else F.lit
     low = key >= (F.lit(prefix) if text else F.lit(raw))
-    upper = raw.rstrip(b"\xff")
-    if not upper:
+    bound = prefix_end(raw)
+    if bound is None:
         return low & key.startswith(prefix if text else F.lit(raw))
-    bound = upper[:-1] + bytes([upper[-1] + 1])
     try:
         return low & (key < lit(bound)) & key.startswith(F.lit(prefix) if text else F.lit(raw))
     except UnicodeDecodeError:
@@ -118,3 +117,32 @@ def murmur32_bytes(data: bytes, seed: int = 0) -> int:
 def murmur32(s: pd.Series) -> pd.Series:
     """Exact seed-0 Murmur3 of a binary column, for those who need the standard bucket ids."""
     return s.map(lambda b: None if b is None else murmur32_bytes(bytes(b)))
+
+
+def spark_hash(data: bytes, seed: int = 42) -> int:
+    """What Spark's ``hash`` gives for a binary value: Murmur3 whose last bytes count one by one."""
+    mask, h = 0xFFFFFFFF, seed
+    whole = len(data) & ~3
+    words = [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)]
+    for k in [*words, *((b - 256 if b > 127 else b) & mask for b in data[whole:])]:
+        k = k * 0xCC9E2D51 & mask
+        k = ((k << 15) | (k >> 17)) & mask
+        h ^= k * 0x1B873593 & mask
+        h = ((h << 13) | (h >> 19)) & mask
+        h = (h * 5 + 0xE6546B64) & mask
+    h ^= len(data)
+    h = (h ^ (h >> 16)) * 0x85EBCA6B & mask
+    h = (h ^ (h >> 13)) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def bucket_number(key: bytes, buckets: int, hash_len: int = 0) -> int:
+    """``bucket`` of one key, without a Spark job."""
+    return spark_hash(key[:hash_len] if hash_len > 0 else key) % buckets
+
+
+def prefix_end(prefix: bytes) -> bytes | None:
+    """The least key above all with a prefix, None where there is none."""
+    upper = prefix.rstrip(b"\xff")
+    return upper[:-1] + bytes([upper[-1] + 1]) if upper else None

@@ -136,31 +136,11 @@ def snapshot_prefix(spark, d):
     return R.prefix(changelog(spark, d), "user00001", as_of=500).select("key", "seq", "type")
 
 
-@query("checkpoint_list", _sql("select seq from (select seq from log where seq%50=0 order by seq desc limit 10) t"))
-def checkpoint_list(spark, d):
-    return changelog(spark, d).where("seq % 50 = 0").select("seq").orderBy(F.desc("seq")).limit(10)
-
-
-@query("log_purge", _sql("select seq,key,type from log where seq>500"))
-def log_purge(spark, d):
-    return M.purge(changelog(spark, d), 500).select("seq", "key", "type")
-
-
-@query("rollback_live", _sql("select key,seq,value from l where type=0", _latest("l", "seq<=400")))
-def rollback_live(spark, d):
-    return resolve(M.rollback(changelog(spark, d), 400)).select("key", "seq", "value")
-
-
 @query("seq_scan_after_flush", _sql("select seq,key,type from log where seq>500 union all select seq,key,type from l", _latest("l", "seq<=500")))
 def seq_scan_after_flush(spark, d):
     return R.seq_scan(changelog(spark, d), flushed=500, order=False).select("seq", "key", "type")
 
 
-@query("tail_holes", _sql("select seq from (select seq,lag(seq) over(order by seq) as prev from log) t where seq-prev>1"))
-def tail_holes(spark, d):
-    return M.sequence_holes(changelog(spark, d)).select("seq")
-
-
 @query("tail_holes_found", _sql("select seq,prev from (select seq,lag(seq) over(order by seq) as prev from log where seq%7<>3) t where seq-prev>1"))
 def tail_holes_found(spark, d):
     return M.sequence_holes(changelog(spark, d).where("seq % 7 <> 3")).select("seq", "prev")
@@ -192,11 +172,6 @@ def stats(spark, d):
     return M.stats(changelog(spark, d))
 
 
-@query("batch_validity", _sql("select sum(case when seq<=prev then 1 else 0 end)::bigint as bad from (select seq,lag(seq) over(order by seq) as prev from log) t"))
-def batch_validity(spark, d):
-    return M.batch_faults(changelog(spark, d))
-
-
 @query("live_sample", _sql("select distinct key from log where seq%97=1 and key in (select key from l where type=0)", _L))
 def live_sample(spark, d):
     return M.sample_stride(changelog(spark, d), 97)
@@ -222,26 +197,195 @@ def record_checksums(spark, d):
     return changelog(spark, d).select("seq", checksum("key", "meta").alias("crc"))
 
 
-@query("seq_bounds", _sql("select max(seq) as max_seq,501::bigint as min_seq,500::bigint as flushed from log"))
-def seq_bounds(spark, d):
-    return M.purge(changelog(spark, d), 500).agg(F.max("seq").alias("max_seq"), F.min("seq").alias("min_seq")).withColumn("flushed", F.lit(500).cast("long"))
-
-
 @query("key_rank", _sql("select key,row_number() over(order by key)-1 as rk from l", _L))
 def key_rank(spark, d):
     return ordered.with_rank(latest(changelog(spark, d)).select("key"), "key", "rk").select("key", "rk")
 
 
-def _events_store(spark, d):
+@query("batch_validity", _sql("select sum(case when seq<=prev then 1 else 0 end)::bigint as bad from (select seq,lag(seq) over(order by seq%7,seq) as prev from log) t"))
+def batch_validity(spark, d):
+    """Faults of a batch that comes in another order than its numbers."""
+    batch = changelog(spark, d).withColumn("at", F.col("seq") % 7 * 10**9 + F.col("seq"))
+    return M.batch_faults(batch, "at")
+
+
+def _store(spark, d, upto: int | None = None, **config):
+    """A store of the log's head."""
+    from tidemark.store.db import Config, Store
+
+    log = changelog(spark, d)
+    return Store.from_log(spark, log if upto is None else log.where(F.col("seq") <= upto), config=Config(**config))
+
+
+def _more(db, spark, d, low: int, high: int) -> None:
+    db.append(changelog(spark, d).where(F.col("seq").between(low, high)).select("seq", "type", "key", "meta", "value"))
+
+
+def _shown(rows, *extra):
+    """Store rows as the log has them."""
+    return rows.select(F.col("key").cast("string").alias("key"), "seq", F.col("value").cast("string").cast("double").alias("value"), *extra)
+
+
+@query("checkpoint_list", _sql("select max(seq) as seq from log where seq<=600 group by (seq-1)//200"))
+def checkpoint_list(spark, d):
+    db = _store(spark, d, 200)
+    db.checkpoint()
+    for low in (201, 401):
+        _more(db, spark, d, low, low + 199)
+        db.checkpoint()
+    return spark.createDataFrame([(c,) for c in db.checkpoints()], "seq long")
+
+
+@query("log_purge", _sql("select seq,key,type from log where seq>500"))
+def log_purge(spark, d):
+    db = _store(spark, d)
+    db.flush(500, purge_only=True)
+    return db.rows().select("seq", F.col("key").cast("string").alias("key"), F.col("type").cast("int").alias("type"))
+
+
+@query("store_rollback", _sql("select key,seq,value from l where type=0", _latest("l", "seq between 101 and 400")))
+def store_rollback(spark, d):
+    db = _store(spark, d, mode="log")
+    db.flush(100)
+    db.rollback(400)
+    return _shown(db.live())
+
+
+@query("store_holes", _sql("select key,seq,value from l where type=0", _latest("l", "seq<=300")))
+def store_holes(spark, d):
+    """A log cut at the first hole between its segments."""
+    db = _store(spark, d, 300, mode="log")
+    _more(db, spark, d, 320, 500)
+    db.truncate_holes()
+    return _shown(db.live())
+
+
+@query("seq_bounds", _sql("select max(seq) as max_seq,501::bigint as min_seq,500::bigint as flushed,max(seq) as synced,501::bigint as first_available from log"))
+def seq_bounds(spark, d):
+    db = _store(spark, d)
+    db.flush(500)
+    row = (db.max_seq(), db.min_seq(), db.flushed_seq(), db.synced_seq(), db.available_seqs()[0])
+    return spark.createDataFrame([row], "max_seq long, min_seq long, flushed long, synced long, first_available long")
+
+
+@query("store_overwrite", _sql("select key,seq,case when seq%10=0 then 1.0 else value end as value from l where type=0", _latest("l", "seq<=500")))
+def store_overwrite(spark, d):
+    """Numbers at or below the flush point written once more, read, and flushed again."""
+    db = _store(spark, d, 500, allow_overwrite=True)
+    db.flush()
+    again = changelog(spark, d).where("seq <= 500 and seq % 10 = 0")
+    db.append(again.select("seq", "type", "key", "meta", F.when(F.col("type") != 1, F.lit(1.0)).alias("value")))
+    db.flush()
+    db.compact_l0()
+    return _shown(db.live())
+
+
+@query("store_filter_checkpoint", _sql("select key,seq,value from l where type=0 and not (seq>300 and value<50)", _latest("l", "seq<=600")))
+def store_filter_checkpoint(spark, d):
+    """A compaction filter beside a checkpoint: what it drops doesn't bring older versions back."""
+    return _shown(_filtered(spark, d).live())
+
+
+@query("store_snapshot_kept", _sql("select key,seq,value from l where type=0", _latest("l", "seq<=300")))
+def store_snapshot_kept(spark, d):
+    """The checkpoint under the same filter shows all that it did."""
+    return _shown(_filtered(spark, d).snapshot(300).live())
+
+
+def _filtered(spark, d):
+    db = _store(spark, d, 300)
+    db.checkpoint()
+    _more(db, spark, d, 301, 600)
+    db.flush()
+    db.compact_l0(drop=F.col("value").cast("string").cast("double") < 50)
+    return db
+
+
+@query("store_levels", _sql("select key,seq,value from l where type=0", _L))
+def store_levels(spark, d):
+    """The live view after tables were moved, split, merged and compacted over levels."""
+    db = _store(spark, d, table_rows=40)
+    db.flush(db.max_seq() // 3)
+    db.compact_l0()
+    db.migrate_level(1)
+    db.flush(2 * db.max_seq() // 3)
+    db.compact_l0()
+    db.compact_level(1)
+    db.split_level(2)
+    db.merge_level(2)
+    db.compact_inplace(2)
+    db.flush()
+    db.compact_upto(10**6)
+    db.set_buckets(2)
+    return _shown(db.live())
+
+
+def _tabled(spark, d):
+    db = _store(spark, d, table_rows=20)
+    db.flush(db.max_seq() - 50)
+    db.compact_l0(preserve_tombstones=True)
+    return db
+
+
+@query("store_point_get", _sql("select key,seq,value from l where key='user000007' and type=0", _L))
+def store_point_get(spark, d):
+    """One key: only tables whose bounds or bucket allow for it are opened."""
+    return _shown(R.newest(_tabled(spark, d).rows(key=b"user000007"), b"user000007").where("type = 0"))
+
+
+@query("store_range", _sql("select key,seq,value from l where type=0 and key between 'user000002' and 'user000009'", _L))
+def store_range(spark, d):
+    return _shown(_tabled(spark, d).range("user000002", "user000009"))
+
+
+@query("store_prefix", _sql("select key,seq,value,type from l where key like 'user00001%'", _L))
+def store_prefix(spark, d):
+    return _shown(_tabled(spark, d).prefix("user00001"), F.col("type").cast("int").alias("type"))
+
+
+@query("store_nearest", _sql("select max(key) as key from l where key<='user0000055'", _L))
+def store_nearest(spark, d):
+    found = _tabled(spark, d).nearest("user0000055", "SMALLER_OR_EQUAL")
+    return spark.createDataFrame([(bytes(found["key"]).decode(),)], "key string")
+
+
+@query("store_groups", _sql("select key,seq,value from l where type=0", _L))
+def store_groups(spark, d):
+    """The log dealt to two named spaces of one group."""
+    from tidemark.sources.shared import new_path
+    from tidemark.store.db import Group
+
+    g, log = Group(spark, new_path(spark, "group")), changelog(spark, d).select("seq", "type", "key", "meta", "value")
+    odd = F.crc32(F.col("key").cast("binary")) % 2 == 1
+    for name, cond in (("odd", odd), ("even", ~odd)):
+        g.open(name).append(log.where(cond))
+        g.open(name).flush()
+    again = Group(spark, g.path)
+    return _shown(again.open("odd").live()).unionByName(_shown(again.open("even").live()))
+
+
+@query("stream_replay", _sql("select key,seq,value from l where type=0", _L))
+def stream_replay(spark, d):
+    """A stream into a store, run again from its start: stored batches are told by the manifest."""
+    from tidemark.sources.shared import new_path
     from tidemark.store.db import Store
+    from tidemark.streaming.ingest import ingest
 
-    return Store.from_log(spark, changelog(spark, d))
+    log = changelog(spark, d).select("seq", "type", "key", "meta", "value")
+    src, ck = new_path(spark, "stream"), new_path(spark, "progress")
+    log.where("seq % 2 = 1").orderBy("seq").write.parquet(src)
+    log.where("seq % 2 = 0").write.mode("append").parquet(src)
+    db = Store.open(spark, new_path(spark, "store"))
+    for _ in range(2):
+        ingest(spark.readStream.schema(log.schema).parquet(src), db, ck, availableNow=True).awaitTermination()
+    db.group.refresh()
+    return _shown(db.live())
 
 
 @query("store_live", _sql("select key,seq,value from l where type=0", _L))
 def store_live(spark, d):
     """The same live view after the log went through segments, a flush and a compaction."""
-    db = _events_store(spark, d)
+    db = _store(spark, d)
     top = db.max_seq()
     db.flush(top // 2)
     db.compact_l0()

@@ -13,21 +13,23 @@ Bulk work (``append``, flush, compaction) runs as Spark jobs and never collects
 from __future__ import annotations
 
 import json
+import os
 import threading
 import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
-from tidemark.functions.keys import bucket, record_size
+from tidemark.functions.keys import bucket, bucket_number, prefix_end, record_size
 from tidemark.operators import maintenance as M
 from tidemark.operators import ordered
 from tidemark.operators import reads as R
-from tidemark.operators.resolve import latest, resolve
+from tidemark.operators.resolve import latest, overwrite_by_commit, resolve
 from tidemark.sources.shared import hadoop, new_path, remove
 
 SEP = "/"
@@ -45,6 +47,7 @@ class Config:
     hash_len: int = 0
     table_rows: int = 4_000_000
     stale_percent: int = 300
+    level_tables: int = 64
     keep_manifests: int = 20
     flush_gap: int = 1_000_000
     segment_limit: int = 512
@@ -107,17 +110,40 @@ class Manifest:
         return None
 
     def store(self, doc: dict, keep: int) -> None:
-        v = doc["version"]
+        """Publishes a version: of two writers of one version, the second gets an error.
+
+        A whole file is moved to its final name by an operation that fails if the name
+        is taken: a hard link locally, elsewhere a rename without overwriting, which is
+        as atomic as the file system makes it.
+        """
+        v, jvm = doc["version"], self.spark._jvm
         fs, final = hadoop(self.spark, f"{self.dir}{SEP}{v:012d}.json")
-        if fs.exists(final):
-            raise S.OperationInProgress(f"manifest {v} was written by another")
         _, tmp = hadoop(self.spark, f"{self.dir}{SEP}.{v}-{uuid.uuid4().hex}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(doc | {"complete": True}).encode()))
-        out.close()
-        if not fs.rename(tmp, final):
+        raw = json.dumps(doc | {"complete": True}).encode()
+        try:
+            if fs.getScheme() == "file":
+                here, there = (str(p.toUri().getPath()) for p in (tmp, final))
+                os.makedirs(os.path.dirname(here), exist_ok=True)
+                with open(here, "wb") as f:
+                    f.write(raw)
+                    os.fsync(f.fileno())
+                try:
+                    os.link(here, there)
+                finally:
+                    os.unlink(here)
+            else:
+                out = fs.create(tmp, True)
+                out.write(bytearray(raw))
+                out.close()
+                none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(tmp, final, none)
+        except FileExistsError:
+            raise S.OperationInProgress(f"manifest {v} was written by another") from None
+        except Py4JJavaError as e:
             fs.delete(tmp, False)
-            raise S.OperationInProgress(f"manifest {v} was written by another")
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            raise S.OperationInProgress(f"manifest {v} was written by another") from None
         for old in self.versions()[:-keep]:
             fs.delete(hadoop(self.spark, f"{self.dir}{SEP}{old:012d}.json")[1], False)
 
@@ -125,13 +151,15 @@ class Manifest:
 class Group:
     """Several named key-value spaces under one path and one manifest."""
 
-    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, as_group: bool = True, version: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, as_group: bool = True, version: int | None = None, read_only: bool = False):
         if not path:
             raise S.InvalidParameters("empty path")
         self.spark, self.path, self.lock = spark, path.rstrip("/"), threading.RLock()
         self.manifest = Manifest(spark, self.path)
         doc = self.manifest.load(version)
         self.config = config or Config(**((doc or {}).get("config") or {}))
+        if read_only:
+            self.config = replace(self.config, read_only=True)
         if doc and doc["group"] != as_group:
             raise S.InvalidHandleUsage("opened as a group and as a single store")
         self.pinned = version is not None
@@ -145,15 +173,32 @@ class Group:
         """The store of a name, created on first use; the same handle for the same name."""
         with self.lock:
             if name not in self._open:
-                state = self.doc["kvs"].get(name)
-                self._open[name] = Store(self, name, State(**json.loads(json.dumps(state))) if state else State(), config or self.config)
+                state, own = self.doc["kvs"].get(name), self.doc.get("configs", {}).get(name)
+                found = config or (replace(Config(**own), read_only=self.config.read_only) if own else self.config)
+                self._open[name] = Store(self, name, State(**json.loads(json.dumps(state))) if state else State(), found)
             return self._open[name]
 
+    def refresh(self) -> bool:
+        """Takes up a newer manifest, if there is one; stores with pending rows are an error."""
+        with self.lock:
+            doc = self.manifest.load()
+            if self.pinned or not doc or doc["version"] <= self.doc["version"]:
+                return False
+            if any(db.pending for db in self._open.values()):
+                raise S.OperationInProgress("pending rows")
+            self.doc = doc
+            for name, db in self._open.items():
+                if name in doc["kvs"]:
+                    db.state = State(**json.loads(json.dumps(doc["kvs"][name])))
+                    db._next = db.state.max_seq
+            return True
+
     def names(self) -> list[str]:
         return sorted(self.doc["kvs"])
 
-    def commit(self, states: dict[str, State]) -> None:
-        """All of ``states`` in one manifest: seen together or not at all."""
+    def commit(self, states: dict[str, State], epochs: dict[str, int] | None = None) -> None:
+        """All of ``states`` in one manifest, seen together or not at all, and with them the
+        numbers of the stream batches that they hold."""
         if self.config.read_only or self.pinned:
             raise S.WriteViolation(self.path)
         with self.lock:
@@ -161,6 +206,9 @@ class Group:
             doc["version"] += 1
             for k, s in states.items():
                 doc["kvs"][k] = asdict(s)
+                if k in self._open:
+                    doc.setdefault("configs", {})[k] = asdict(replace(self._open[k].config, read_only=False))
+            doc["epochs"] = doc.get("epochs", {}) | (epochs or {})
             self.manifest.store(doc, self.config.keep_manifests)
             self.doc = doc
 
@@ -192,37 +240,59 @@ class Group:
 
 
 class Snapshot:
-    """Reads frozen at a sequence number."""
+    """Reads frozen at a sequence number.
 
-    def __init__(self, rows: DataFrame, seq: int, flushed: int = 0):
-        self.log, self.seq, self.flushed = rows, seq, flushed
+    ``rows`` gives the versions of keys between two bounds (inclusive, None is
+    unbounded), or of one key; the store leaves out tables that can't hold them.
+    """
+
+    def __init__(self, rows: Callable[..., DataFrame], seq: int, flushed: int = 0):
+        self._rows, self.seq, self.flushed = rows, seq, flushed
+
+    @property
+    def log(self) -> DataFrame:
+        return self._rows()
 
     def live(self) -> DataFrame:
         return resolve(self.log, self.seq)
 
     def get(self, key):
-        return bytes(R.get(self.log, _bytes(key), self.seq))
+        """The value of a live key: bytes, or None where a null was stored."""
+        return _bytes(R.get(self._rows(key=_bytes(key)), _bytes(key), self.seq))
 
     def get_record(self, key, meta_only: bool = False):
-        return R.get_record(self.log, _bytes(key), self.seq, meta_only)
+        return R.get_record(self._rows(key=_bytes(key)), _bytes(key), self.seq, meta_only)
 
     def nearest(self, key, option: str = "GREATER_OR_EQUAL", meta_only: bool = False):
-        return R.nearest(self.log, _bytes(key), option, self.seq, meta_only)
+        k = _bytes(key)
+        rows = self._rows(low=k) if option.startswith("GREATER") else self._rows(high=k)
+        return R.nearest(rows, k, option, self.seq, meta_only)
 
     def prefix(self, p, limit: int | None = None) -> DataFrame:
-        return R.prefix(self.log, _bytes(p), self.seq, limit)
+        p = _bytes(p)
+        return R.prefix(self._rows(low=p, high=prefix_end(p)), p, self.seq, limit)
+
+    def for_each_prefix(self, p, decide: Callable) -> int:
+        p = _bytes(p)
+        return R.for_each_prefix(self._rows(low=p, high=prefix_end(p)), p, decide, self.seq)
 
     def range(self, low=None, high=None, descending: bool = False) -> DataFrame:
-        return R.range_scan(self.log, _bytes(low), _bytes(high), self.seq, descending)
+        low, high = _bytes(low), _bytes(high)
+        return R.range_scan(self._rows(low=low, high=high), low, high, self.seq, descending)
 
     def cursor(self, low=None, high=None) -> R.Cursor:
-        return R.Cursor(self.log, _bytes(low), _bytes(high), "key", self.seq)
+        low, high = _bytes(low), _bytes(high)
+        return R.Cursor(self._rows(low=low, high=high), low, high, "key", self.seq)
 
     def multi_get(self, keys: DataFrame, key: str = "key") -> DataFrame:
         return R.multi_get(self.log, keys, key, self.seq)
 
     def close(self) -> None:
-        self.log = None
+        self._rows = None
+
+
+#: Stores that are open for writing in this process, by session and path.
+_HANDLES: dict[tuple[str, str], Group] = {}
 
 
 class Store:
@@ -235,15 +305,26 @@ class Store:
         self._next = state.max_seq
         self._busy = threading.Lock()
         self._rolling_back = False
-        self._async: list[tuple[dict, Future]] = []
         self._pool = ThreadPoolExecutor(1)
-        self.handlers: dict[str, Callable] = {}
+        self._queued: dict | None = None  # the flush that waits behind the running one
 
     # -- opening ---------------------------------------------------------
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, config: Config | None = None, version: int | None = None) -> Store:
-        return Group(spark, path, config, as_group=False, version=version).default()
+    def open(cls, spark: SparkSession, path: str, config: Config | None = None, version: int | None = None, read_only: bool = False) -> Store:
+        """The store at a path, with the configuration stored there unless one is given.
+
+        One process has one writing handle of a path: opening it again gives the same
+        one. A version, ``read_only`` or another configuration gives a handle of its own.
+        """
+        key = (spark.sparkContext.applicationId, path.rstrip("/"))
+        known = _HANDLES.get(key)
+        if known and version is None and not read_only and config in (None, known.config):
+            return known.default()
+        group = Group(spark, path, config, as_group=False, version=version, read_only=read_only)
+        if version is None and not group.config.read_only:
+            _HANDLES[key] = group
+        return group.default()
 
     @classmethod
     def from_log(cls, spark: SparkSession, log: DataFrame, path: str | None = None, config: Config | None = None) -> Store:
@@ -302,6 +383,8 @@ class Store:
     def close(self) -> None:
         self._pool.shutdown(wait=True)
         self.group._open.pop(self.name, None)
+        for key in [k for k, g in _HANDLES.items() if g is self.group]:
+            del _HANDLES[key]
 
     # -- reading files ---------------------------------------------------
 
@@ -318,27 +401,46 @@ class Store:
 
     def log_section(self) -> DataFrame:
         """Records above the flush point, in every version."""
+        return self._log().drop("commit_id")
+
+    def _log(self) -> DataFrame:
         d = self._frame(x for x in self.state.segments if x["max_seq"] > self.state.flushed).where(F.col("seq") > self.state.flushed)
         p = self._pending_frame()
         d = d if p is None else d.unionByName(p)
-        if self.config.allow_overwrite:
-            from tidemark.operators.resolve import overwrite_by_commit
-
-            d = overwrite_by_commit(d)
-        return d.drop("commit_id")
+        return overwrite_by_commit(d) if self.config.allow_overwrite else d
 
     def tables(self, level: int | None = None) -> DataFrame:
-        return self._frame(t for t in self.state.tables if level is None or t["level"] == level).drop("commit_id")
-
-    def rows(self) -> DataFrame:
-        """Log section and tables together: what ``resolve`` works on."""
-        return self.log_section().unionByName(self.tables())
+        return self._tables(t for t in self.state.tables if level is None or t["level"] == level).drop("commit_id")
+
+    def _tables(self, tables: Iterable[dict]) -> DataFrame:
+        """Rows of tables; where numbers may be overwritten, the newest commit's of each."""
+        d = self._frame(tables)
+        return overwrite_by_commit(d) if self.config.allow_overwrite else d
+
+    def _may_hold(self, t: dict, key: bytes | None, low: bytes | None, high: bytes | None) -> bool:
+        """Whether a table's bounds, or the bucket of the key, allow for a row."""
+        if key is not None:
+            low = high = key
+            if t["bucket"] is not None and t.get("of") and bucket_number(key, t["of"], self.config.hash_len) != t["bucket"]:
+                return False
+        return not (low and t["max_key"] is not None and bytes.fromhex(t["max_key"]) < low) and not (high and t["min_key"] is not None and bytes.fromhex(t["min_key"]) > high)
+
+    def rows(self, key: bytes | None = None, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
+        """Log section and tables together: what ``resolve`` works on.
+
+        Tables that the manifest shows to hold nothing of a key, or between two bounds,
+        are not opened. Where numbers may be overwritten none is left out, as the row
+        that overwrites another may have another key.
+        """
+        if self.config.allow_overwrite:
+            return overwrite_by_commit(self._log().unionByName(self._frame(self.state.tables))).drop("commit_id")
+        return self.log_section().unionByName(self._tables(t for t in self.state.tables if self._may_hold(t, key, low, high)).drop("commit_id"))
 
     def live(self) -> DataFrame:
         return resolve(self.rows())
 
     def _snap(self) -> Snapshot:
-        return Snapshot(self.rows(), self._next, self.state.flushed)
+        return Snapshot(self.rows, self._next, self.state.flushed)
 
     def get(self, key):
         return self._snap().get(key)
@@ -365,15 +467,17 @@ class Store:
         return self._snap().cursor(low, high)
 
     def seq_cursor(self, low: int | None = None, high: int | None = None) -> R.Cursor:
-        return R.Cursor(self._seq_rows(), low, high, "seq")
+        return R.Cursor(self._seq_rows(low), low, high, "seq")
 
     def seq_scan(self, low: int | None = None, high: int | None = None) -> DataFrame:
-        return R.seq_scan(self._seq_rows(), low, high)
+        return R.seq_scan(self._seq_rows(low), low, high)
 
-    def _seq_rows(self) -> DataFrame:
+    def _seq_rows(self, low: int | None) -> DataFrame:
+        """All that ``low`` or more can show: older tables hold no such row and hide none."""
         if not self.config.seq_index:
             raise S.SeqindexUnavailable()
-        return self.log_section().unionByName(latest(self.tables()))
+        held = [t for t in self.state.tables if low is None or t["max_seq"] >= low]
+        return self.log_section().unionByName(latest(self._tables(held).drop("commit_id"))) if held else self.log_section()
 
     # -- writing ---------------------------------------------------------
 
@@ -424,11 +528,12 @@ class Store:
         for r in records:
             self.set(r["key"], r.get("value"), r.get("meta"), r.get("seq"), r.get("type", S.INSERT))
 
-    def append(self, df: DataFrame) -> None:
+    def append(self, df: DataFrame, epochs: dict[str, int] | None = None) -> None:
         """A DataFrame of records as one segment and one commit.
 
-        Without a ``seq`` column, numbers follow the key order of the frame from the
-        current maximum on; with one, they must be unique and above it.
+        Without a ``seq`` column, numbers follow the order in which rows arrive, from the
+        current maximum on, so that of records of one key the last one wins; with one,
+        they must be unique and above it. ``epochs`` are committed with the rows.
         """
         self._check_write()
         self.sync()
@@ -437,7 +542,7 @@ class Store:
         as_bin = lambda c: F.col(c) if dict(df.dtypes)[c] == "binary" else F.col(c).cast("string").cast("binary")
         base = self._next
         if "seq" not in df.columns:
-            df = ordered.with_rank(df, "key", "_rank").withColumn("seq", F.col("_rank") + base + 1)
+            df = ordered.with_arrival(df, "_rank").withColumn("seq", F.col("_rank") + base + 1)
         d = df.select(F.col("seq").cast("long").alias("seq"), kind.alias("type"), as_bin("key").alias("key"), meta.alias("meta"), F.when(kind != S.DELETE, as_bin("value")).alias("value"), F.lit(self.state.commit * 10**9).cast("long").alias("commit_id"))
         rel = self._write_segment(d)
         seg = self._describe_segment(rel)
@@ -446,10 +551,13 @@ class Store:
         if not self.config.allow_overwrite and (seg["min_seq"] <= base or seg["distinct"] != seg["rows"]):
             remove(self.spark, f"{self.path}{SEP}{rel}")
             raise S.InvalidSeqnum("appended records")
-        s = replace(self.state, segments=[*self.state.segments, seg])
-        s.max_seq = max(s.max_seq, seg["max_seq"])
-        self._commit(s)
-        self._next = s.max_seq
+        self._commit(self._with_segment(seg), epochs)
+        self._next = self.state.max_seq
+
+    def _with_segment(self, seg: dict) -> State:
+        """The state with one more segment; rows at or below the flush point move it back,
+        so that they are read, and flushed again, from the log."""
+        return replace(self.state, segments=[*self.state.segments, seg], max_seq=max(self.state.max_seq, seg["max_seq"]), flushed=min(self.state.flushed, seg["min_seq"] - 1))
 
     def _write_segment(self, d: DataFrame) -> str:
         rel = f"log{SEP}{uuid.uuid4().hex}"
@@ -460,9 +568,9 @@ class Store:
         r = self._frame([{"path": rel}]).agg(F.count(F.lit(1)), F.min("seq"), F.max("seq"), F.countDistinct("seq")).first()
         return {"path": rel, "rows": r[0], "min_seq": r[1] or 0, "max_seq": r[2] or 0, "distinct": r[3]}
 
-    def _commit(self, s: State) -> None:
+    def _commit(self, s: State, epochs: dict[str, int] | None = None) -> None:
         s.commit = self.state.commit + 1
-        self.group.commit({self.name: s})
+        self.group.commit({self.name: s}, epochs)
         self.state = s
         self._next = max(self._next, s.max_seq)
 
@@ -472,7 +580,7 @@ class Store:
         rel = self._write_segment(self._pending_frame().coalesce(1).sortWithinPartitions("seq"))
         seqs = [p[0] for p in self.pending]
         seg = {"path": rel, "rows": len(seqs), "min_seq": min(seqs), "max_seq": max(seqs), "distinct": len(set(seqs))}
-        return replace(self.state, segments=[*self.state.segments, seg], max_seq=max(self.state.max_seq, seg["max_seq"]))
+        return self._with_segment(seg)
 
     def sync(self, wait: bool = True) -> None:
         """Pending rows into a segment and a manifest; without ``wait``, busy is an error."""
@@ -489,13 +597,14 @@ class Store:
 
     def discard_dirty(self, seq_begin: int) -> int:
         """Drops pending records from ``seq_begin`` on; synced ones can't be dropped."""
-        if seq_begin <= self.state.max_seq:
-            raise S.InvalidSeqnum("already synced")
-        kept = [p for p in self.pending if p[0] < seq_begin]
-        n = len(self.pending) - len(kept)
-        self.pending = kept
-        self._next = max([self.state.max_seq, *(p[0] for p in kept)])
-        return n
+        with self.group.lock:
+            if seq_begin <= self.state.max_seq:
+                raise S.InvalidSeqnum("already synced")
+            kept = [p for p in self.pending if p[0] < seq_begin]
+            n = len(self.pending) - len(kept)
+            self.pending = kept
+            self._next = max([self.state.max_seq, *(p[0] for p in kept)])
+            return n
 
     # -- sequence numbers and checkpoints -----------------------------------
 
@@ -550,7 +659,7 @@ class Store:
             return self._snap()
         if at not in self.state.checkpoints:
             raise S.InvalidCheckpoint(str(at))
-        return Snapshot(self.rows(), at, self.state.flushed)
+        return Snapshot(self.rows, at, self.state.flushed)
 
     # -- truncation ---------------------------------------------------------
 
@@ -572,31 +681,52 @@ class Store:
             raise S.AlreadyFlushed(str(upto))
         s = replace(self.state, flushed=upto, tables=list(self.state.tables))
         if not purge_only and self.config.mode == "table":
-            d = self._versions(self.log_section().where(F.col("seq") <= upto))
+            d = self._versions(self._log().where(F.col("seq") <= upto))
             s.tables += self._write_buckets(d, s)
         s.segments = [x for x in s.segments if x["max_seq"] > upto]
         self._commit(s)
 
     def flush_async(self, upto: int | None = None, handler: Callable | None = None, **options) -> Future:
-        """The same in the background; ``handler`` gets the error or None."""
+        """The same in the background; ``handler`` gets the error or None.
 
-        def work():
-            err = None
-            try:
-                self.flush(upto, **options)
-            except S.StoreError as e:
-                err = e
-            if handler:
-                handler(err)
-            return err
-
-        return self._pool.submit(work)
+        A request that comes while another waits joins it: one flush up to the larger
+        number answers both, and every handler is called.
+        """
+        with self.group.lock:
+            q = self._queued
+            if q and q["options"] == options:
+                q["upto"] = None if None in (q["upto"], upto) else max(q["upto"], upto)
+                q["handlers"].append(handler)
+                return q["future"]
+            q = self._queued = {"upto": upto, "options": options, "handlers": [handler]}
+
+            def work():
+                with self.group.lock:
+                    if self._queued is q:
+                        self._queued = None
+                err = None
+                try:
+                    self.flush(q["upto"], **options)
+                except Exception as e:  # noqa: BLE001 - the handler is told of any failure
+                    err = e
+                for h in q["handlers"]:
+                    if h:
+                        h(err)
+                return err
+
+            q["future"] = self._pool.submit(work)
+            return q["future"]
 
     def rollback(self, upto: int) -> None:
-        """Log mode only: forgets what came after ``upto``; numbering resumes there."""
+        """Log mode only: forgets what came after ``upto``; numbering resumes there.
+
+        What was purged can't come back, so a number below the purge point is refused.
+        """
         if self.config.mode != "log":
             raise S.InvalidMode("rollback needs the log-only mode")
         self._check_write()
+        if upto < self.state.flushed:
+            raise S.InvalidSeqnum(f"{upto} is below the purge point {self.state.flushed}")
         self._rolling_back = True
         try:
             self.pending = [p for p in self.pending if p[0] <= upto]
@@ -612,7 +742,10 @@ class Store:
             self._rolling_back = False
 
     def truncate_holes(self) -> int | None:
-        """Log mode: drops segments from the first one that doesn't follow its predecessor."""
+        """Log mode only: drops segments from the first one that doesn't follow its predecessor."""
+        if self.config.mode != "log":
+            raise S.InvalidMode("numbers may be sparse where tables are")
+        self._check_write()
         segs = sorted(self.state.segments, key=lambda x: x["min_seq"])
         for i in range(1, len(segs)):
             if segs[i]["min_seq"] != segs[i - 1]["max_seq"] + 1:
@@ -628,28 +761,35 @@ class Store:
     # -- tables and compaction -------------------------------------------------
 
     def _versions(self, d: DataFrame) -> DataFrame:
-        """The newest version of each key overall and as of each checkpoint."""
-        rows = latest(d)
-        for c in self.state.checkpoints:
-            rows = rows.unionByName(latest(d, c))
-        return rows.dropDuplicates(["seq"]) if self.state.checkpoints else rows
-
-    def _write_table(self, d: DataFrame) -> str:
-        rel = f"table{SEP}{uuid.uuid4().hex}"
-        d.withColumn("commit_id", F.lit(0).cast("long")).write.option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}{SEP}{rel}")
-        return rel
+        """The newest version of each key overall and as of each checkpoint, in one pass.
+
+        Of the versions between two checkpoints, the newest is all that is ever seen.
+        """
+        if not self.state.checkpoints:
+            return latest(d)
+        w = Window.partitionBy("key", self._epoch()).orderBy(F.desc("seq"))
+        return d.where(F.col("type") != S.COMMAND).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+    def _epoch(self) -> Column:
+        """The first checkpoint at or above a row's number, null after the last one."""
+        c = F.lit(None).cast("long")
+        for mark in sorted(self.state.checkpoints, reverse=True):
+            c = F.when(F.col("seq") <= mark, F.lit(mark)).otherwise(c)
+        return c
 
     def _write_split(self, d: DataFrame, part: Column, level: int, s: State, kind: str) -> list[dict]:
         """One Spark job writes a directory per value of ``part``; its bounds come from one aggregate."""
         base = f"table{SEP}{uuid.uuid4().hex}"
         out = f"{self.path}{SEP}{base}"
-        d = d.withColumn("_part", part).withColumn("commit_id", F.lit(0).cast("long"))
-        d.repartition("_part").sortWithinPartitions("_part", "key").write.option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true").partitionBy("_part").parquet(out)
+        d = d.withColumn("_part", part)
+        if "commit_id" not in d.columns:
+            d = d.withColumn("commit_id", F.lit(0).cast("long"))
+        d.drop("_rank").repartition("_part").sortWithinPartitions("_part", "key").write.option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true").partitionBy("_part").parquet(out)
         got = self.spark.read.parquet(out)
         facts = M.table_stats(got, ["_part"]).join(got.groupBy("_part").agg(F.max("seq").alias("max_seq"), F.min("seq").alias("min_seq")), "_part").orderBy("_part").collect()
         tables = []
         for r in facts:
-            tables.append({"path": f"{base}{SEP}_part={r['_part']}", "level": level, "idx": s.next_table, "bucket": r["_part"] if kind == "bucket" else None, "min_key": bytes(r["min_key"]).hex(), "max_key": bytes(r["max_key"]).hex(), "rows": r["num_kvs"], "bytes": r["bytes"], "min_seq": r["min_seq"], "max_seq": r["max_seq"]})
+            tables.append({"path": f"{base}{SEP}_part={r['_part']}", "level": level, "idx": s.next_table, "bucket": r["_part"] if kind == "bucket" else None, "of": self.config.num_buckets if kind == "bucket" else None, "min_key": bytes(r["min_key"]).hex(), "max_key": bytes(r["max_key"]).hex(), "rows": r["num_kvs"], "bytes": r["bytes"], "min_seq": r["min_seq"], "max_seq": r["max_seq"]})
             s.next_table += 1
         return tables
 
@@ -657,14 +797,13 @@ class Store:
         return self._write_split(d, bucket("key", self.config.num_buckets, self.config.hash_len), 0, s, "bucket")
 
     def _write_ranges(self, d: DataFrame, level: int, s: State, tables: int | None = None) -> list[dict]:
-        d = d.select("seq", "type", "key", "meta", "value")
-        n = d.select("key").distinct().count()
+        """Tables of equal row count in key order; versions of a key may lie on both sides of a border."""
+        ranked = ordered.with_rank(d.select("seq", "type", "key", "meta", "value", *(c for c in d.columns if c == "commit_id")), ["key", "seq"], "_rank")
+        n = ranked.count()
         if not n:
             return []
         per = max(1, -(-n // tables)) if tables else self.config.table_rows
-        cuts = ordered.with_rank(d.select("key").distinct(), "key", "_rank").where((F.col("_rank") % per == 0) & (F.col("_rank") > 0)).select("key")
-        edges = sorted(bytes(r[0]) for r in cuts.collect()) if n > per else []
-        return self._write_split(d, ordered.bucket_of("key", edges), level, s, "range")
+        return self._write_split(ranked, F.floor(F.col("_rank") / per).cast("int"), level, s, "range")
 
     def _describe(self, rel: str, level: int, idx: int, b: int | None) -> dict:
         r = self._frame([{"path": rel}]).agg(F.count(F.lit(1)), F.sum(record_size("key", "meta", "value")), F.min("key"), F.max("key"), F.min("seq"), F.max("seq")).first()
@@ -677,21 +816,25 @@ class Store:
         return max([1, *self.levels()])
 
     def _compacted(self, d: DataFrame, into_last: bool, drop: Column | None, preserve: bool) -> DataFrame:
-        """Newest versions plus those that checkpoints need; tombstones go on the last level."""
-        go = into_last and not preserve and self.config.drop_tombstones_on_last_level
-        top = M.compact(d, last_level=go, drop=drop)
+        """What a compaction keeps: the newest versions, and those that checkpoints show.
+
+        On the last level tombstones go, and newest versions that ``drop`` holds for (a
+        null verdict keeps them). Where an older version stays for a checkpoint, either
+        stays as a tombstone, or the older one would come back to life; and a version
+        that a checkpoint shows is never dropped.
+        """
+        rows = self._versions(d)
+        if not into_last or preserve or not self.config.drop_tombstones_on_last_level:
+            return rows
+        gone = F.col("type") == S.DELETE
         if not self.state.checkpoints:
-            return top
-        return top.unionByName(self._versions(d)).dropDuplicates(["seq"]) if not go else self._keep_for_checkpoints(top, d)
-
-    def _keep_for_checkpoints(self, top: DataFrame, d: DataFrame) -> DataFrame:
-        """Old versions stay while a checkpoint shows them; their newest tombstone must stay too."""
-        old = None
-        for c in self.state.checkpoints:
-            part = latest(d, c)
-            old = part if old is None else old.unionByName(part)
-        guarded = latest(d).join(old.where(F.col("type") == S.INSERT).select("key").distinct(), "key", "left_semi")
-        return top.unionByName(old).unionByName(guarded.where(F.col("type") == S.DELETE)).dropDuplicates(["seq"])
+            return rows.where(~gone & (F.lit(True) if drop is None else ~F.coalesce(drop, F.lit(False))))
+        if drop is not None:
+            out = ~gone & self._epoch().isNull() & F.coalesce(drop, F.lit(False))
+            rows = rows.withColumn("_out", out)
+            rows = rows.withColumn("type", F.when(F.col("_out"), F.lit(S.DELETE).cast("byte")).otherwise(F.col("type"))).withColumn("value", F.when(~F.col("_out"), F.col("value"))).drop("_out")
+        oldest = F.min(F.when(F.col("type") == S.INSERT, F.col("seq"))).over(Window.partitionBy("key"))
+        return rows.withColumn("_oldest", oldest).where(~gone | (F.col("_oldest") < F.col("seq"))).drop("_oldest")
 
     def _replace(self, gone: list[dict], make: Callable[[State], list[dict]]) -> None:
         s = replace(self.state, tables=[t for t in self.state.tables if t not in gone])
@@ -710,7 +853,7 @@ class Store:
         if not l0:
             return
         l1 = self._overlapping(l0, 1)
-        d = self._frame([*l0, *l1]).drop("commit_id")
+        d = self._tables([*l0, *l1])
         whole = self._last_level() == 1 and len(l0) == sum(t["level"] == 0 for t in self.state.tables)
         self._replace([*l0, *l1], lambda s: self._write_ranges(self._compacted(d, whole, drop, preserve_tombstones), 1, s))
 
@@ -728,7 +871,7 @@ class Store:
         self._need_tables()
         victim = self.pick_victim(level)
         below = self._overlapping([victim], level + 1)
-        d = self._frame([victim, *below]).drop("commit_id")
+        d = self._tables([victim, *below])
         last = level + 1 >= self._last_level()
         self._replace([victim, *below], lambda s: self._write_ranges(self._compacted(d, last, drop, preserve_tombstones), level + 1, s))
 
@@ -736,7 +879,7 @@ class Store:
         """Rewrites a level within its bounds."""
         self._need_tables()
         own = self._level(level)
-        d = self._frame(own).drop("commit_id")
+        d = self._tables(own)
         self._replace(own, lambda s: self._write_ranges(self._compacted(d, level == self._last_level(), drop, preserve_tombstones), level, s))
 
     def migrate_level(self, level: int) -> None:
@@ -750,7 +893,7 @@ class Store:
         """The largest table of a level as several of equal key count."""
         self._need_tables()
         big = max(self._level(level), key=lambda t: t["bytes"])
-        self._replace([big], lambda s: self._write_ranges(self._frame([big]), level, s, parts))
+        self._replace([big], lambda s: self._write_ranges(self._tables([big]), level, s, parts))
 
     def merge_level(self, level: int) -> None:
         """The smallest table of a level and its left neighbour (or right, at the start) as one."""
@@ -760,7 +903,7 @@ class Store:
             return
         i = min(range(len(own)), key=lambda k: own[k]["bytes"])
         pair = [own[i], own[i - 1 if i else 1]]
-        self._replace(pair, lambda s: self._write_ranges(self._frame(pair), level, s, 1))
+        self._replace(pair, lambda s: self._write_ranges(self._tables(pair), level, s, 1))
 
     def compact_upto(self, idx: int) -> int:
         """Rewrites, in their level, all range tables numbered ``idx`` or less."""
@@ -768,25 +911,79 @@ class Store:
         old = [t for t in self.state.tables if t["idx"] <= idx and t["level"] > 0]
         for level in sorted({t["level"] for t in old}):
             own = [t for t in old if t["level"] == level]
-            d = self._frame(own).drop("commit_id")
+            d = self._tables(own)
             self._replace(own, lambda s, d=d, level=level: self._write_ranges(self._compacted(d, level == self._last_level(), None, False), level, s))
         return len(old)
 
     def set_buckets(self, n: int) -> None:
-        """Drains level 0 into level 1; later flushes use ``n`` buckets."""
+        """Drains level 0 into level 1; later flushes, also after reopening, use ``n`` buckets."""
+        if n < 1:
+            raise S.InvalidParameters("buckets")
         self.compact_l0()
-        self.config = replace(self.config, num_buckets=n)
+        self.update_config(num_buckets=n)
+
+    def update_config(self, **changes) -> None:
+        """Changes settings of an open store and stores them in the manifest."""
+        self._check_write()
+        if "num_buckets" in changes and any(t["level"] == 0 for t in self.state.tables):
+            raise S.InvalidParameters("level 0 isn't empty")
+        before, self.config = self.config, replace(self.config, **changes)
+        try:
+            self._commit(replace(self.state))
+        except BaseException:
+            self.config = before
+            raise
+
+    def stale_percent(self, t: dict) -> float:
+        """Percent of rows written since a table was made, of its own, that its keys share in.
+
+        What the levels above hold between its bounds, by its share of their key range
+        (counted in tables), against its own rows: 100 and that is what a merge can save.
+        """
+        above = [x for x in self.state.tables if x["level"] < t["level"] and x["min_key"] <= t["max_key"] and x["max_key"] >= t["min_key"]]
+        own = [x for x in self.state.tables if x["level"] == t["level"]]
+        share = sum(x["rows"] / max(1, sum(y["min_key"] <= x["max_key"] and y["max_key"] >= x["min_key"] for y in own)) for x in above)
+        return 100 * (1 + share / max(1, t["rows"]))
 
     def pick_victim(self, level: int) -> dict:
-        """The table with the most versions per byte bound kept, oldest first among equals."""
-        return min(self._level(level), key=lambda t: (-t["rows"], t["idx"]))
+        """The stalest table of a level, the largest of equals, then the oldest."""
+        return min(self._level(level), key=lambda t: (-self.stale_percent(t), -t["rows"], t["idx"]))
+
+    def pick_action(self) -> tuple[str, int] | None:
+        """What to do next, and on which level, most urgent first.
 
-    def pick_action(self) -> str | None:
-        """What to do next: level 0 first, then the level with the most stale rows."""
+        Level 0 with more tables than buckets is drained; a level beyond its size limit
+        goes down, in whole by the manifest alone where nothing lies below; a table of
+        twice the size is split; a stale table is merged down (in place on the last
+        level); neighbours that together are small are merged.
+        """
         if sum(t["level"] == 0 for t in self.state.tables) > self.config.num_buckets:
-            return "compact_l0"
-        over = [t for t in self.state.tables if t["level"] > 0 and t["rows"] > 2 * self.config.table_rows]
-        return "split_level" if over else None
+            return "compact_l0", 0
+        for level in [x for x in self.levels() if x > 0]:
+            own = self._level(level)
+            if len(own) > self.level_limit(level):
+                return ("migrate_level" if level == self._last_level() else "compact_level"), level
+            if max(t["rows"] for t in own) > 2 * self.config.table_rows:
+                return "split_level", level
+            if self.stale_percent(self.pick_victim(level)) > self.config.stale_percent:
+                return ("compact_inplace" if level == self._last_level() else "compact_level"), level
+            rows = [t["rows"] for t in sorted(own, key=lambda t: t["min_key"])]
+            if len(rows) > 1 and min(a + b for a, b in zip(rows, rows[1:])) < self.config.table_rows // 4:
+                return "merge_level", level
+        return None
+
+    def level_limit(self, level: int) -> int:
+        """Tables of a level before it counts as too large: ten times more on each."""
+        return self.config.level_tables * 10 ** (level - 1)
+
+    def maintain(self, most: int = 16) -> list[str]:
+        """Carries out what ``pick_action`` asks for until nothing is left, ``most`` at once."""
+        done = []
+        while len(done) < most and (found := self.pick_action()):
+            action, level = found
+            (self.compact_l0() if action == "compact_l0" else getattr(self, action)(level))
+            done.append(action)
+        return done
 
     # -- statistics -----------------------------------------------------------
 

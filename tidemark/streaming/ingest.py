@@ -11,16 +11,13 @@ from tidemark.store.db import Store
 def ingest(stream: DataFrame, store: Store, checkpoint: str, **trigger) -> StreamingQuery:
     """Each micro-batch of key, value (and meta, type, seq) as one commit.
 
-    A batch that was committed and is replayed after a crash is recognised by its
-    number in the manifest and skipped, so that every record is stored once.
+    A batch's number goes into the manifest by the very commit that adds its rows, so
+    that a batch replayed after a crash is skipped if it was stored and stored if not.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        done = store.group.doc.setdefault("epochs", {}).get(checkpoint, -1)
-        if epoch <= done or batch.isEmpty():
-            return
-        store.group.doc["epochs"][checkpoint] = epoch
-        store.append(batch)
+        if epoch > store.group.doc.get("epochs", {}).get(checkpoint, -1) and not batch.isEmpty():
+            store.append(batch, {checkpoint: epoch})
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(**trigger) if trigger else w).start()
