@@ -17,3 +17,23 @@ def test_run_is_its_stages(spark, sf):
         assert 0 < docs.count() <= before
     last = sorted(map(tuple, cp.STAGES[-1][1](spark, docs, sf).collect()))
     assert last == sorted(map(tuple, cp.run(spark, sf).collect()))
+
+
+def test_stages_on_awkward_tables(spark, sf):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    cols = docs.columns
+    odd = docs.unionByName(docs.limit(5)).unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    for c in ("text", "lang", "source", "n_chars"):
+        odd = odd.unionByName(docs.limit(2).withColumn(c, F.lit(None).cast(docs.schema[c].dataType)).select(*cols))
+    odd = odd.withColumn("text", F.when(F.col("doc_id") == 7, "").otherwise(F.col("text")))
+    for c in ("bucket", "measured", "rep_key", "sig", "kept"):
+        odd = odd.withColumn(c, F.lit(1))
+    for table in (odd, odd.limit(0)):
+        d, _ = cp.written(table, "step")
+        for _, stage in cp.STAGES[:-1]:
+            out, _ = cp.written(stage(spark, d, sf), "step")
+            assert out.columns == table.columns and out.count() <= d.count()
+            d = out
+        assert cp.STAGES[-1][1](spark, d, sf).count() >= d.where("text is not null").count()
