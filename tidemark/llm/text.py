@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.sources.shared import written
 
 #: Bytes of text worked on at once; a longer single text is worked on whole.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
