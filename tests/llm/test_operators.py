@@ -315,3 +315,22 @@ def test_ann_visits_and_keeps_the_same_as_brute_force():
     dist = ann.distances(y[:90], y)
     np.fill_diagonal(dist, np.inf)
     assert near.best()[1].tolist() == np.argsort(dist, 1, kind="stable")[:, :7].ravel().tolist()
+
+
+def test_hmm_pass_emits_for_so_many_tasks(spark):
+    d = spark.createDataFrame([(i, np.array([i % 5, 3], np.int32).tobytes()) for i in range(400)], "uid long, sym binary").repartition(40)
+    # counts, and how many tasks emitted: not one for each partition of the table
+    total = hmm._summed(d, 3, lambda seqs: np.stack([np.bincount(np.concatenate(seqs), minlength=5), np.ones(5)], 1), 5, 2)
+    assert total.tolist() == [[80, 3], [80, 3], [80, 3], [480, 3], [80, 3]]
+
+
+def test_hmm_counts_of_rare_moves_and_symbols_stay_finite():
+    rng = np.random.default_rng(5)
+    k, v = 4, 30
+    start, move, emit = rng.dirichlet(np.ones(k)), np.where(np.eye(k) > 0, 1 - 3e-9, 1e-9), np.where(np.arange(v)[:, None] % k == np.arange(k), 1e-9, 1e-18)
+    seqs = [rng.integers(0, v, n) for n in (40, 39, 39, 17, 3, 2, 1)]  # each symbol needs a move of chance 1e-9
+    want = hmm.expect(hmm.Columns(seqs), start, move, emit, v)
+    got = hmm.expect(hmm.Columns(seqs), *(x.astype(np.float32) for x in (start, move, emit)), v)
+    alone = [hmm.expect_long(s, start, move, emit, v, 10) for s in seqs]
+    for i, (w, g) in enumerate(zip(want, got)):
+        assert np.allclose(w, sum(x[i] for x in alone), rtol=1e-6) and np.allclose(w, g, rtol=1e-3, atol=1e-4)
