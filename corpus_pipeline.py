@@ -8,13 +8,28 @@ Parquet and read again as the next one's ``docs``. All but the last keep the col
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import classifier, minhash, packing, quality, suffixes
-from tidemark.sources.shared import remove, written
+from tidemark.sources.shared import remove, small_batches, written
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def bounded(stage: Stage) -> Stage:
+    """``stage``, of which what it runs itself hands texts to Python a few MB at a time."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with small_batches(spark):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@bounded
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents whose tokenizer measures are out of their language's bands.
 
@@ -24,17 +39,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+@bounded
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that score below the threshold learned from ``labels``.
 
     The model is fitted on at most 8000 labelled documents of what the stage before
     kept; the threshold comes from all of it. Without labels of both classes, all
     documents with words stay. Null and wordless texts go; null keys count as unlabelled.
+    Its result is written here, as Python reads the texts of all rows for it.
     """
     model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return classifier.keep_preferred(docs, model)
+    return written(classifier.keep_preferred(docs, model), "preferred")[0]
 
 
+@bounded
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of least key.
 
@@ -44,6 +62,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.drop_copies(docs)
 
 
+@bounded
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without passages of 50 words or more that occur before; emptied documents go.
 
@@ -54,6 +73,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return suffixes.drop_repeats(docs)
 
 
+@bounded
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-equal windows of at most 2048 words over all that is left.
 
@@ -63,7 +83,7 @@ def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_rules),
     ("quality classifier", quality_classifier),
     ("near dedup", near_dedup),

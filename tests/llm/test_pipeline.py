@@ -37,3 +37,31 @@ def test_stages_on_awkward_tables(spark, sf):
             assert out.columns == table.columns and out.count() <= d.count()
             d = out
         assert cp.STAGES[-1][1](spark, d, sf).count() >= d.where("text is not null").count()
+
+
+def test_stages_hand_few_texts_to_python_at_once(spark, sf):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def batch_mb(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes / 1e6])], ["mb"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 1500, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("text"))  # 30 MB in one task
+    sizes = cp.bounded(lambda spark, docs, sf: cp.written(docs.mapInArrow(batch_mb, "mb double"), "sizes")[0])
+    for own in (None, str(1 << 20)):
+        if own:
+            spark.conf.set(name, own)
+        try:
+            mb = [r["mb"] for r in sizes(spark, texts, sf).collect()]
+            assert sum(mb) > 29 and max(mb) < (1.2 if own else 4.5)
+            assert spark.conf.get(name, None) == own  # the session's setting comes back
+        finally:
+            spark.conf.unset(name)
+    assert all(hasattr(stage, "__wrapped__") for _, stage in cp.STAGES)
+
+
+def test_classifier_stage_leaves_no_texts_for_python(spark, sf):
+    out = dict(cp.STAGES)["quality classifier"](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
