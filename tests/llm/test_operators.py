@@ -334,3 +334,27 @@ def test_hmm_counts_of_rare_moves_and_symbols_stay_finite():
     alone = [hmm.expect_long(s, start, move, emit, v, 10) for s in seqs]
     for i, (w, g) in enumerate(zip(want, got)):
         assert np.allclose(w, sum(x[i] for x in alone), rtol=1e-6) and np.allclose(w, g, rtol=1e-3, atol=1e-4)
+
+
+def test_hmm_starts_from_a_share_and_ends_on_all_texts(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {}
+    for least in (1e18, 1e5):
+        monkeypatch.setattr(hmm, "LEAST", least, raising=False)
+        m, enc, _ = hmm.train(docs)
+        found[least] = m.log_likelihood
+        n = hmm.score(enc, m).agg({"n_words": "sum"}).collect()[0][0]
+    cold, warm = found.values()
+    assert len(warm) <= len(cold) // 2  # passes over all texts
+    assert warm[-1] > cold[-1] - 0.005 * n and (warm[-1] - warm[-2]) / n < hmm.TOLERANCE
+
+
+def test_hmm_share_without_its_words_changes_nothing(spark):
+    d = spark.createDataFrame([(i, bytes(4 * i), False) for i in range(4)], "uid long, sym binary, long boolean")
+    model = (np.full(2, 0.5), np.full((2, 2), 0.5), np.full((3, 2), 1 / 3))
+    run = lambda some, tasks, *m: (*m[:3], np.zeros((3, 2)), [0.0])
+    assert hmm.warm(d, 0.25, 100, model, np.ones(3), run) is model
+    half = np.array([[9.0, 1.0], [0.0, 0.0], [10.0, 10.0]])
+    _, _, emit = hmm.warm(d, 0.25, 100, model, np.array([10.0, 5.0, 85.0]), lambda *_: (*model, half, [0.0]))
+    assert emit.sum(0) == pytest.approx([1, 1]) and emit[0, 0] > 5 * emit[0, 1]
+    assert emit[1, 0] / emit[2, 0] == pytest.approx(5 / 85)  # one the share lacks divides as before
