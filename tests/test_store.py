@@ -1,5 +1,7 @@
 """The same assertions in several physical states of a store."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,6 +340,58 @@ def test_reads_open_only_tables_that_may_hold_the_rows(spark, path):
     assert len(buckets) == 4 and sum(db._may_hold(t, b"n7", None, None) for t in buckets) == 1 and db.get("n7") == b"x"
 
 
+def test_many_small_tables_share_files(spark, path, monkeypatch):
+    rows = spark.range(200).select(F.format_string("k%06d", "id").alias("key"), F.col("id").cast("string").alias("value"))
+    db = Store.bulk_build(spark, path, rows, Config(table_rows=1, keep_manifests=1))
+    assert len(db.state.tables) == 200 and len(db.rows().inputFiles()) <= 64
+    assert sorted(bytes(r["key"]) for r in db._frame(t for t in db.state.tables if t["idx"] in (55, 71, 199)).collect()) == [b"k000055", b"k000071", b"k000199"]
+    assert len(db.rows(key=b"k000055").inputFiles()) == 1 and db.get("k000055") == b"55"
+    assert db.range("k000055", "k000071").count() == 17 and db.prefix("k00001").count() == 10
+    assert bytes(db.nearest("k0000555", "GREATER")["key"]) == b"k000056"
+    db.compact_level(1)  # one table of a shared file moves down, and what takes its place hides its rows
+    assert db.levels() == [1, 2] and db.tables(1).count() == 199 and db.tables(2).count() == 1
+    moved = db.tables(2).first()["key"]
+    db.set(bytes(moved), "new")
+    db.delete("k000150")
+    db.flush()
+    db.compact_l0()
+    db.merge_level(1)
+    db.split_level(1)
+    assert db.group.vacuum() and db.get(bytes(moved)) == b"new" and db.live().count() == 199
+    db.close()
+    again = Store.open(spark, path)
+    assert again.live().count() == 199 and sum(t["rows"] for t in again.state.tables) == again.tables().count()
+    assert len({t["idx"] for t in again.state.tables}) == len(again.state.tables)
+    monkeypatch.setattr("tidemark.store.db.FILE_ROWS", 2)
+    again.compact_upto(10**6)
+    assert again.live().count() == 199 and max(t.get("shared", 1) for t in again.state.tables) == 2
+
+
+def test_a_small_table_has_a_small_file(spark, path):
+    rows = spark.range(40).select(F.format_string("k%06d", "id").alias("key"), F.lit("v").alias("value"))
+    db = Store.bulk_build(spark, path, rows, Config(table_rows=20))
+    assert all(os.path.getsize(f.removeprefix("file:").replace("//", "/")) < 10_000 for f in db.rows().inputFiles())
+
+
+def test_staleness_of_all_tables_at_once_is_that_of_each(spark, path):
+    import random
+
+    rng, db = random.Random(5), Store.open(spark, path)
+    for i in range(300):
+        low, level = rng.randrange(1000), rng.choice((0, 1, 1, 2, 2, 2))
+        high = rng.randrange(low, 1000) if level == 0 else min(999, low + rng.randrange(20))
+        db.state.tables.append({"level": level, "idx": i, "min_key": f"{low:04x}", "max_key": f"{high:04x}", "rows": rng.randrange(1, 50)})
+
+    def meets(x, y):
+        return x["min_key"] <= y["max_key"] and x["max_key"] >= y["min_key"]
+
+    for level in (0, 1, 2):
+        own = [t for t in db.state.tables if t["level"] == level]
+        above = [t for t in db.state.tables if t["level"] < level]
+        want = [100 * (1 + sum(x["rows"] / max(1, sum(meets(x, y) for y in own)) for x in above if meets(x, t)) / t["rows"]) for t in own]
+        assert db._stale_percents(own) == pytest.approx(want) and db.stale_percent(own[3]) == pytest.approx(want[3])
+
+
 def test_bucket_numbers_are_spark_s(spark):
     from tidemark.functions.keys import bucket, bucket_number
 

@@ -93,9 +93,9 @@ def sample_keys(log: DataFrame, n: int, live_only: bool = False) -> DataFrame:
         stride = max(1, stride // 2)
 
 
-def table_stats(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Documents, bytes and key bounds by level and table."""
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("num_kvs"), F.sum(record_size("key", "meta", "value")).alias("bytes"), F.min("key").alias("min_key"), F.max("key").alias("max_key"))
+def table_stats(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """Documents, bytes and key bounds by level and table, and what else is asked for."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("num_kvs"), F.sum(record_size("key", "meta", "value")).alias("bytes"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), *more)
 
 
 def latency_percentiles(df: DataFrame, col: str, points: tuple[float, ...] = (0.5, 0.99)) -> DataFrame:

@@ -2,9 +2,11 @@
 
 Layout under a path: ``manifest/<version>.json`` (the newest is the truth),
 ``log/<id>`` segments in sequence order and ``table/<id>`` directories, each table
-one row a key. Files never change; a commit writes the next manifest by an atomic
-create, so that readers hold a version and a second writer of the same version
-fails. ``vacuum`` removes files that no kept manifest names.
+one row a key. A write of more than ``FILES`` tables puts neighbours into one file, whose
+rows carry the table's number, so that files don't grow in number as small tables do.
+Files never change; a commit writes the next manifest by an atomic create, so that
+readers hold a version and a second writer of the same version fails. ``vacuum`` removes
+files that no kept manifest names.
 
 There is one writer at a time; its pending rows live in the driver until ``sync``.
 Bulk work (``append``, flush, compaction) runs as Spark jobs and never collects rows.
@@ -16,9 +18,12 @@ import json
 import os
 import threading
 import uuid
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
+from itertools import accumulate
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,6 +39,14 @@ from tidemark.sources.shared import hadoop, new_path, remove
 
 SEP = "/"
 
+#: Tables of one write that get a file each; of more, neighbours share files.
+FILES = 64
+
+#: Rows of a file that tables share, at most.
+FILE_ROWS = 1_000_000
+
+_ROWS = "seq long, type byte, key binary, meta binary, value binary, commit_id long"
+
 
 @dataclass(frozen=True)
 class Config:
@@ -72,6 +85,30 @@ class State:
     commit: int = 0
 
 
+class _Spans:
+    """Tables by their key bounds: which overlap one, and how many, without a look at all."""
+
+    def __init__(self, tables: list[dict]):
+        order = sorted((i for i, t in enumerate(tables) if t["min_key"] is not None), key=lambda i: tables[i]["min_key"])
+        self.at, self.tables = order, [tables[i] for i in order]
+        self.mins, self.maxs = [t["min_key"] for t in self.tables], sorted(t["max_key"] for t in self.tables)
+        self.reach = list(accumulate((t["max_key"] for t in self.tables), max))
+
+    def count(self, t: dict) -> int:
+        return bisect_right(self.mins, t["max_key"]) - bisect_left(self.maxs, t["min_key"])
+
+    def overlapping(self, t: dict) -> list[dict]:
+        """In the order in which the tables were given."""
+        if t["min_key"] is None:
+            return []
+        found, i = [], bisect_right(self.mins, t["max_key"]) - 1
+        while i >= 0 and self.reach[i] >= t["min_key"]:
+            if self.tables[i]["max_key"] >= t["min_key"]:
+                found.append(i)
+            i -= 1
+        return [self.tables[i] for i in sorted(found, key=self.at.__getitem__)]
+
+
 def _bytes(x):
     return None if x is None else x.encode() if isinstance(x, str) else bytes(x)
 
@@ -356,7 +393,7 @@ class Store:
         for i, rel in enumerate(tables):
             s.tables.append(db._describe(rel, 1, i, None))
         s.tables.sort(key=lambda t: t["min_key"] or "")
-        s.next_table = len(tables)
+        s.next_table = max(s.next_table, len(tables))
         s.max_seq = s.flushed = max([0, *(t["max_seq"] for t in s.tables)])
         db._commit(s)
         return db
@@ -389,15 +426,26 @@ class Store:
     # -- reading files ---------------------------------------------------
 
     def _frame(self, rels: Iterable[dict]) -> DataFrame:
-        rels = list(rels)
-        if not rels:
+        """Rows of segments or tables; of a file some of whose tables are asked for, theirs."""
+        files: dict[str, list[dict]] = {}
+        for x in rels:
+            files.setdefault(x["path"], []).append(x)
+        if not files:
             return self.spark.createDataFrame([], S.LOG_SCHEMA).drop("kvs").withColumn("commit_id", F.lit(0).cast("long"))
-        return self.spark.read.schema("seq long, type byte, key binary, meta binary, value binary, commit_id long").parquet(*[f"{self.path}{SEP}{x['path']}" for x in rels])
+        part = {p: own for p, own in files.items() if len(own) < own[0].get("shared", 1)}
+        read = lambda schema, paths: self.spark.read.schema(schema).parquet(*[f"{self.path}{SEP}{p}" for p in paths])
+        found = []
+        if len(part) < len(files):
+            found.append(read(_ROWS, [p for p in files if p not in part]))
+        if part:
+            numbers = ",".join(str(x["idx"]) for own in part.values() for x in own)
+            found.append(read(f"{_ROWS}, _table int", part).where(f"_table in ({numbers})").drop("_table"))
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
     def _pending_frame(self) -> DataFrame | None:
         if not self.pending:
             return None
-        return self.spark.createDataFrame(self.pending, "seq long, type byte, key binary, meta binary, value binary, commit_id long")
+        return self.spark.createDataFrame(self.pending, _ROWS)
 
     def log_section(self) -> DataFrame:
         """Records above the flush point, in every version."""
@@ -777,21 +825,29 @@ class Store:
             c = F.when(F.col("seq") <= mark, F.lit(mark)).otherwise(c)
         return c
 
-    def _write_split(self, d: DataFrame, part: Column, level: int, s: State, kind: str) -> list[dict]:
-        """One Spark job writes a directory per value of ``part``; its bounds come from one aggregate."""
-        base = f"table{SEP}{uuid.uuid4().hex}"
+    def _write_split(self, d: DataFrame, part: Column, level: int, s: State, kind: str, share: int = 1, tables: int | None = None, rows: int | None = None) -> list[dict]:
+        """One Spark job writes a directory per ``share`` values of ``part``, each value a table;
+        their bounds come from one aggregate. ``tables`` and ``rows`` are how many there are, if known."""
+        base, first = f"table{SEP}{uuid.uuid4().hex}", s.next_table
         out = f"{self.path}{SEP}{base}"
-        d = d.withColumn("_part", part)
+        d = d.withColumn("_table", part)
+        d = d.withColumn("_part", F.floor(F.col("_table") / share).cast("int")).withColumn("_table", F.col("_table") + first)
         if "commit_id" not in d.columns:
             d = d.withColumn("commit_id", F.lit(0).cast("long"))
-        d.drop("_rank").repartition("_part").sortWithinPartitions("_part", "key").write.option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true").partitionBy("_part").parquet(out)
-        got = self.spark.read.parquet(out)
-        facts = M.table_stats(got, ["_part"]).join(got.groupBy("_part").agg(F.max("seq").alias("max_seq"), F.min("seq").alias("min_seq")), "_part").orderBy("_part").collect()
-        tables = []
+        d = d.drop("_rank")
+        d = d.repartition(-(-tables // share), "_part") if tables else d.repartition("_part")
+        w = d.sortWithinPartitions("_part", "_table", "key").write.option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true")
+        if tables and rows:  # else each file has a filter of the greatest size
+            w = w.option("parquet.bloom.filter.expected.ndv#key", str(max(1, -(-rows // tables) * share)))
+        w.partitionBy("_part").parquet(out)
+        got = self.spark.read.schema(f"{_ROWS}, _table int, _part int").parquet(out)
+        facts = M.table_stats(got, ["_part", "_table"], F.max("seq").alias("max_seq"), F.min("seq").alias("min_seq")).orderBy("_table").collect()
+        held, made = Counter(r["_part"] for r in facts), []
         for r in facts:
-            tables.append({"path": f"{base}{SEP}_part={r['_part']}", "level": level, "idx": s.next_table, "bucket": r["_part"] if kind == "bucket" else None, "of": self.config.num_buckets if kind == "bucket" else None, "min_key": bytes(r["min_key"]).hex(), "max_key": bytes(r["max_key"]).hex(), "rows": r["num_kvs"], "bytes": r["bytes"], "min_seq": r["min_seq"], "max_seq": r["max_seq"]})
-            s.next_table += 1
-        return tables
+            shared = {"shared": held[r["_part"]]} if held[r["_part"]] > 1 else {}
+            made.append({"path": f"{base}{SEP}_part={r['_part']}", "level": level, "idx": r["_table"], "bucket": r["_part"] if kind == "bucket" else None, "of": self.config.num_buckets if kind == "bucket" else None, "min_key": bytes(r["min_key"]).hex(), "max_key": bytes(r["max_key"]).hex(), "rows": r["num_kvs"], "bytes": r["bytes"], "min_seq": r["min_seq"], "max_seq": r["max_seq"]} | shared)
+            s.next_table = r["_table"] + 1
+        return made
 
     def _write_buckets(self, d: DataFrame, s: State) -> list[dict]:
         return self._write_split(d, bucket("key", self.config.num_buckets, self.config.hash_len), 0, s, "bucket")
@@ -803,7 +859,9 @@ class Store:
         if not n:
             return []
         per = max(1, -(-n // tables)) if tables else self.config.table_rows
-        return self._write_split(ranked, F.floor(F.col("_rank") / per).cast("int"), level, s, "range")
+        many = -(-n // per)
+        share = max(1, min(-(-many // FILES), FILE_ROWS // per))
+        return self._write_split(ranked, F.floor(F.col("_rank") / per).cast("int"), level, s, "range", share, many, n)
 
     def _describe(self, rel: str, level: int, idx: int, b: int | None) -> dict:
         r = self._frame([{"path": rel}]).agg(F.count(F.lit(1)), F.sum(record_size("key", "meta", "value")), F.min("key"), F.max("key"), F.min("seq"), F.max("seq")).first()
@@ -837,7 +895,8 @@ class Store:
         return rows.withColumn("_oldest", oldest).where(~gone | (F.col("_oldest") < F.col("seq"))).drop("_oldest")
 
     def _replace(self, gone: list[dict], make: Callable[[State], list[dict]]) -> None:
-        s = replace(self.state, tables=[t for t in self.state.tables if t not in gone])
+        out = {(t["path"], t["idx"]) for t in gone}
+        s = replace(self.state, tables=[t for t in self.state.tables if (t["path"], t["idx"]) not in out])
         s.tables = [*s.tables, *make(s)]
         self._commit(s)
 
@@ -940,14 +999,23 @@ class Store:
         What the levels above hold between its bounds, by its share of their key range
         (counted in tables), against its own rows: 100 and that is what a merge can save.
         """
-        above = [x for x in self.state.tables if x["level"] < t["level"] and x["min_key"] <= t["max_key"] and x["max_key"] >= t["min_key"]]
-        own = [x for x in self.state.tables if x["level"] == t["level"]]
-        share = sum(x["rows"] / max(1, sum(y["min_key"] <= x["max_key"] and y["max_key"] >= x["min_key"] for y in own)) for x in above)
-        return 100 * (1 + share / max(1, t["rows"]))
+        return self._stale_percents([t])[0]
+
+    def _stale_percents(self, tables: list[dict]) -> list[float]:
+        """``stale_percent`` of tables of one level."""
+        level, by_level = tables[0]["level"], {}
+        for x in self.state.tables:
+            by_level.setdefault(x["level"], []).append(x)
+        own = _Spans(by_level.get(level, []))
+        above = [_Spans(by_level[x]) for x in sorted(by_level) if x < level]
+        share = {id(x): x["rows"] / max(1, own.count(x)) for spans in above for x in spans.tables}
+        return [100 * (1 + sum(share[id(x)] for spans in above for x in spans.overlapping(t)) / max(1, t["rows"])) for t in tables]
 
     def pick_victim(self, level: int) -> dict:
         """The stalest table of a level, the largest of equals, then the oldest."""
-        return min(self._level(level), key=lambda t: (-self.stale_percent(t), -t["rows"], t["idx"]))
+        own = self._level(level)
+        stale = self._stale_percents(own)
+        return own[min(range(len(own)), key=lambda i: (-stale[i], -own[i]["rows"], own[i]["idx"]))]
 
     def pick_action(self) -> tuple[str, int] | None:
         """What to do next, and on which level, most urgent first.
